@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rohspark.llm import digest, runs
+from rohspark.llm import digest, leaks, quality, runs
 from rohspark.operators.em_impute import current_calls
 from rohspark.session import table
 
@@ -26,6 +26,22 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.length_percentiles(table(spark, d, "roh"))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_quality(spark, d).where("is_degenerate").select("doc_id")
+
+
 P1_RUNS = """
 WITH cur AS (
   SELECT ind_idx, chr, locus_idx, max_by(ppos, k) AS ppos, max_by(coalesce(g, -9), k) AS g FROM (
@@ -51,5 +67,5 @@ FROM runs GROUP BY ind_idx, chr, run"""
 
 P1_FOUND = f"SELECT ind_idx, chr, start_ppos, stop_ppos FROM ({P1_RUNS}) WHERE n_events >= 15"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p7_found, p7_leaks, p8_found, p8_quality)}
 SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS}
