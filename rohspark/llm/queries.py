@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rohspark.llm import digest, leaks, quality, runs
+from rohspark.llm import digest, leaks, packing, quality, runs
 from rohspark.operators.em_impute import current_calls
 from rohspark.session import table
 
@@ -26,6 +26,14 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.length_percentiles(table(spark, d, "roh"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
+def p6_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, d))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -67,5 +75,5 @@ FROM runs GROUP BY ind_idx, chr, run"""
 
 P1_FOUND = f"SELECT ind_idx, chr, start_ppos, stop_ppos FROM ({P1_RUNS}) WHERE n_events >= 15"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p7_found, p7_leaks, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p6_packed, p6_fill_report, p7_found, p7_leaks, p8_found, p8_quality)}
 SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS}
