@@ -223,12 +223,17 @@ def clean_pop(pop: Column) -> Column:
 def current_calls(genotypes: DataFrame) -> DataFrame:
     """The version of each call with the latest `loaded_at` (null is earliest); g is null unless 0, 1 or 2.
 
-    Rows with a null in the key (ind_idx, chr, locus_idx) identify no call and are left out.
+    Versions with equal `loaded_at` are equal by the table's definition; should they differ, the largest g
+    counts, a missing one last. Rows with a null in the key (ind_idx, chr, locus_idx) identify no call
+    and are left out.
     """
     g = F.when(F.col("g").isin(0, 1, 2), F.col("g").cast("int"))
     known = genotypes.where(F.col("ind_idx").isNotNull() & F.col("chr").isNotNull() & F.col("locus_idx").isNotNull())
-    latest = known.groupBy("ind_idx", "chr", "locus_idx").agg(F.max(F.struct("loaded_at", "panel_id", "ppos", g.alias("g"))).alias("v"))
-    return latest.select("ind_idx", "chr", "locus_idx", F.col("v.panel_id").alias("panel_id"), F.col("v.ppos").alias("ppos"), F.col("v.g").alias("g"))
+    # one number to order by and fixed-width values: the aggregation hashes, in place, instead of sorting
+    version = F.shiftleft(F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(1 << 60))), 2) + F.coalesce(g + 1, F.lit(0))
+    rows = known.select("ind_idx", "chr", "locus_idx", "panel_id", "ppos", g.alias("g"), "first_copy", version.alias("_v"))
+    latest = [F.max_by(c, "_v").alias(c) for c in ("panel_id", "ppos", "g", "first_copy")]
+    return rows.groupBy("ind_idx", "chr", "locus_idx").agg(*latest)
 
 
 def current_individuals(individuals: DataFrame, populations: DataFrame) -> DataFrame:
