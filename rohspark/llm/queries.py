@@ -10,8 +10,8 @@ from rohspark.session import table
 
 
 def _call_runs(spark: SparkSession, d: str, min_events: int) -> DataFrame:
-    calls = current_calls(table(spark, d, "genotypes"))
-    return runs.collapse_runs(calls, ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events)
+    genotypes = table(spark, d, "genotypes")
+    return runs.collapse_runs(current_calls(genotypes), ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events, range_of=genotypes)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

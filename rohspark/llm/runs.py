@@ -57,7 +57,8 @@ def _field(entries: pa.StructArray, name: str) -> np.ndarray:
 
 
 def collapse_runs(
-    events: DataFrame, entity: list[str], order: str, position: str, symbol: str, max_step: int, min_flank: int = 5, min_events: int = 1, chunk: int = 4096
+    events: DataFrame, entity: list[str], order: str, position: str, symbol: str, max_step: int, min_flank: int = 5, min_events: int = 1, chunk: int = 4096,
+    range_of: DataFrame | None = None,
 ) -> DataFrame:
     """One row per run: entity, `symbol`, `n_events`, `n_bridged`, `start_<position>`, `stop_<position>`, `extent`.
 
@@ -70,6 +71,9 @@ def collapse_runs(
     `extent` is the distance of the outermost positions, both included. Events with the same entity
     and order are taken in order of position, then symbol; repeated events count each. Further columns
     are ignored. An empty table gives no rows.
+
+    The range of `order`, which tells the number of chunks, is looked up first; `range_of` may name a table that is
+    cheaper to read and whose `order` covers that of the events.
     """
     pattern = run_pattern(min_flank)
     key = [F.col(c) for c in entity]
@@ -77,7 +81,7 @@ def collapse_runs(
     for c in (*entity, order, position):
         ok = ok & F.col(c).isNotNull()
     used = events.where(ok).select(*key, F.floor(F.col(order) / F.lit(chunk)).cast("bigint").alias("_chunk"), F.struct(F.col(order).cast("bigint").alias("o"), F.col(position).cast("bigint").alias("p"), F.col(symbol).cast("int").alias("s")).alias("_e"))
-    reach = events.where(ok).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    reach = (events.where(ok) if range_of is None else range_of).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     first, last = (int(reach["a"] // chunk), int(reach["b"] // chunk)) if reach["a"] is not None else (0, 0)
     grouped = used.groupBy(*entity, "_chunk").agg(F.sort_array(F.collect_list("_e")).alias("_es"))  # at most `chunk` orders a group
     entity_type = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in entity)
