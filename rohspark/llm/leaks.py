@@ -157,7 +157,7 @@ def find_leaks(
                 ids, texts = batch.column(0), batch.column(1)
                 for k in range(batch.num_rows):
                     t = texts[k].as_py()
-                    if not t:
+                    if not t or not automaton.items:
                         continue
                     found = automaton.scan(t)
                     if found:
