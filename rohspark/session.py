@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +68,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once per application.
+
+    Workers started elsewhere than in the repository could not import it otherwise. The archive is
+    served by the driver, as with `--py-files`.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="rohspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "rohspark_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """A broadcast hint where `df` has at most `max_rows` rows; else `df` as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
