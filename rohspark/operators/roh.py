@@ -1,6 +1,6 @@
 """Window scores and their assembly into runs of homozygosity.
 
-All steps keep the partitioning (panel, chr, individual) and the order of `idx`, so that one exchange
+All steps keep the partitioning (panel, chr, individual) and the order of position, so that one exchange
 and one sort serve the window scores, the coverage and the segments.
 """
 
@@ -16,7 +16,7 @@ ENTITY = ["panel_id", "chr", "ind_idx"]
 
 
 def _w():
-    return Window.partitionBy(*ENTITY).orderBy("idx")
+    return Window.partitionBy(*ENTITY).orderBy("ppos", "locus_idx")
 
 
 def site_breaks(numbered: DataFrame, centromeres: DataFrame, max_gap: int) -> DataFrame:
@@ -29,7 +29,7 @@ def site_breaks(numbered: DataFrame, centromeres: DataFrame, max_gap: int) -> Da
 
 
 def score_sites(calls: DataFrame, sites: DataFrame, error: float | Column = 0.001) -> DataFrame:
-    """(entity, idx, ppos, brk, lod) of each call at a site that is left; `sites` has idx, freq and brk.
+    """(entity, locus_idx, idx, ppos, brk, lod) of each call at a site that is left; `sites` has idx, freq and brk.
 
     `calls` has one row per individual and site. `error` may be a column of `calls`.
     """
@@ -37,7 +37,25 @@ def score_sites(calls: DataFrame, sites: DataFrame, error: float | Column = 0.00
     s = sites.select("panel_id", "chr", "locus_idx", "idx", F.col("ppos").alias("site_ppos"), "freq", "brk", *kept)
     joined = calls.join(s, ["panel_id", "chr", "locus_idx"])
     score = exprs.lod(F.col("g"), F.col("freq"), error if isinstance(error, Column) else F.lit(error))
-    return joined.select(*ENTITY, "idx", F.col("site_ppos").alias("ppos"), "brk", *kept, score.alias("lod"))
+    return joined.select(*ENTITY, "locus_idx", "idx", F.col("site_ppos").alias("ppos"), "brk", *kept, score.alias("lod"))
+
+
+def score_calls(calls: DataFrame, centromeres: DataFrame, max_gap: int, error: float | Column = 0.001) -> DataFrame:
+    """What `score_sites` gives for polymorphic sites and frequencies of the calls themselves, without a join.
+
+    `calls` has one row per individual and site. The frequency is a window over the site's calls; the
+    place of a site and the step from the one before are the same for every individual, so they are taken
+    from its own rows, in the exchange that the window scores need anyway.
+    """
+    site = Window.partitionBy("panel_id", "chr", "locus_idx")
+    counted = calls.withColumns({"_n": F.count("g").over(site), "_s": F.sum("g").over(site), "ppos": F.max("ppos").over(site)})
+    left = counted.where((F.col("_s") > 0) & (F.col("_s") < 2 * F.col("_n"))).withColumn("freq", F.col("_s") / (2 * F.col("_n")))
+    score = exprs.lod(F.col("g"), F.col("freq"), error if isinstance(error, Column) else F.lit(error))
+    scored = with_centromeres(left.select(*ENTITY, "locus_idx", "ppos", score.alias("lod")), centromeres)
+    before = F.lag("ppos").over(_w())
+    wide = (F.col("ppos") - before > max_gap) | exprs.in_gap(before, F.col("ppos"), F.col("c_start"), F.col("c_end"))
+    placed = scored.withColumns({"idx": F.row_number().over(_w()) - 1, "brk": F.coalesce(wide, F.lit(False)).cast("int")})
+    return placed.select(*ENTITY, "locus_idx", "idx", "ppos", "brk", "lod")
 
 
 def window_scores(scored: DataFrame, w: int, value: str = "lod") -> DataFrame:
@@ -69,7 +87,7 @@ def assemble(windows: DataFrame, cutoff: float, w: int, overlap_frac: float = 0.
     w_ = _w()
     marked = coverage(windows, cutoff, w).withColumn("inside", F.col("cov") >= least)
     first = F.col("inside") & (~F.coalesce(F.lag("inside").over(w_), F.lit(False)) | (F.col("brk") == 1))
-    is_last = F.lead("idx").over(w_).isNull()
+    is_last = F.lead("ppos").over(w_).isNull()
     islands = marked.withColumns({"head": first.cast("int"), "is_last": is_last}).withColumn("island", F.sum("head").over(w_)).where("inside")
     size = (F.max("gpos") - F.min("gpos")) if cm else (F.max("ppos") - F.min("ppos") + 1)
     runs = islands.groupBy(*ENTITY, "island").agg(F.min("ppos").alias("start"), F.max("ppos").alias("stop"), F.count(F.lit(1)).alias("n_snps"), size.alias("length"), F.max(F.col("is_last") & (F.col("head") == 1)).alias("lone"))

@@ -261,7 +261,7 @@ def broken_sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_of(spark: SparkSession, d: str, error=P.error) -> DataFrame:
-    return roh.score_sites(calls_of(spark, d), broken_sites(spark, d), error)
+    return roh.score_calls(calls_of(spark, d), table(spark, d, "centromeres"), P.max_gap, error)
 
 
 def windows_of(spark: SparkSession, d: str, w: int = P.w, error=P.error) -> DataFrame:

@@ -63,7 +63,9 @@ def test_windows_and_segments(spark):
         pos, p, g, first, cen = study(seed)
         calls, s = tables(spark, pos, p, g, first, cen)
         kept, freq, brk, scores = loops(pos, g, cen)
-        windows = roh.window_scores(roh.score_sites(calls, s, ERR), W)
+        direct = roh.score_calls(calls, spark.createDataFrame([("chr1", *cen)], "chr string, c_start bigint, c_end bigint"), GAP, ERR)
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, roh.score_sites(calls, s, ERR).collect()))
+        windows = roh.window_scores(direct, W)
         got = {(r["ind_idx"], r["idx"]): r["score"] for r in windows.collect()}
         assert len(got) == len(g) * len(kept)
         for i, row in enumerate(scores):
