@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rohspark.llm import digest, leaks, packing, quality, runs
 from rohspark.operators.em_impute import current_calls
@@ -26,6 +27,12 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.length_percentiles(table(spark, d, "roh"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, their rows, and whether all their percentiles keep the bound."""
+    rows = p5_percentiles(spark, d)
+    return rows.groupBy("level", "pop", "called_on").agg(F.max("n").alias("n"), F.every("certified").alias("certified"))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
 
@@ -75,5 +82,22 @@ FROM runs GROUP BY ind_idx, chr, run"""
 
 P1_FOUND = f"SELECT ind_idx, chr, start_ppos, stop_ppos FROM ({P1_RUNS}) WHERE n_events >= 15"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p6_packed, p6_fill_report, p7_found, p7_leaks, p8_found, p8_quality)}
-SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS}
+P5_GROUPS = r"""
+WITH last AS (SELECT roh_id, max({'t': loaded_at, 'v': roh_length, 'pop': pop, 'day': called_on}) AS r FROM roh WHERE roh_id IS NOT NULL GROUP BY roh_id),
+fine AS (SELECT upper(trim(r.pop, ' ' || chr(9))) AS pop, r.day AS called_on FROM last WHERE r.v > 0 AND NOT isnan(r.v) AND NOT isinf(r.v))
+SELECT 'pop_day' AS level, pop, called_on, count(*) AS n, true AS certified FROM fine GROUP BY pop, called_on
+UNION ALL SELECT 'pop', pop, NULL, count(*), true FROM fine GROUP BY pop"""
+
+_WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
+P8_FOUND = rf"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(text, '[^{_WS}]+') AS w, length(regexp_replace(text, '[{_WS}\p{{L}}\p{{N}}]', '', 'g')) AS symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')) AS lines FROM documents),
+c AS (SELECT list(DISTINCT word) AS words FROM common_words),
+s AS (
+  SELECT doc_id, len(w) AS n, length(array_to_string(w, ''))::DOUBLE AS chars, symbols, len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][{_WS}]*$'))) AS ended,
+    len(list_filter(w, lambda x: list_contains(c.words, regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS common FROM t, c)
+SELECT doc_id FROM s WHERE n < 12 OR chars / n < 2.5 OR chars / n > 15 OR symbols / chars > 0.4e0 OR ended::DOUBLE / n_lines < 0.03e0 OR common::DOUBLE / n < 0.08e0 OR common::DOUBLE / n > 0.7e0"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p6_packed, p6_fill_report, p7_found, p7_leaks, p8_found, p8_quality)}
+SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p8_found": P8_FOUND}
