@@ -1,16 +1,17 @@
 """Packing texts into containers of fixed capacity, neighbours by BM25 together.
 
 One pass sizes every text in tokens and reduces it to hashed terms with their counts. Document
-frequencies are counted over all texts. Texts are then dealt by a hash of their id to shards of bounded
-size; each shard holds an inverted index of its texts and scores all of them as queries
-against it. For each capacity, seeds are taken by falling size, and the unused neighbours that the
-index returns fill the seed's window greedily. A shard is one task and needs nothing of any other,
-so the work grows with the number of shards alone.
+frequencies are counted over all texts. Texts are then dealt to shards of bounded size, those that
+share rare terms to the same one where it has room; each shard holds an inverted index of its texts and scores
+all of them as queries against it. For each capacity, seeds are taken by falling size, and the unused neighbours
+that the index returns fill the seed's window greedily. A shard is one task and needs nothing of
+any other, so the work grows with the number of shards alone.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ BUCKETS = 1 << 18  # terms are hashed to so many, which bounds the table of docu
 K1, B = 1.2, 0.75
 SHARD_TEXTS, SHARD_TERMS = 2048, 4_000_000
 FIT = 2.0  # how strongly the share of the room that an item takes weighs beside its score
+SIGNATURES = 1 << 16  # lexical signatures, by which texts are dealt to shards
+RARE = 0.05  # a term in a larger share of the texts than this doesn't take part in signatures
 _DENSE = 24  # terms in at least so many texts of a shard are scored by a matrix product
 
 
@@ -82,6 +85,39 @@ def sized_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return documents.where(F.col(text).isNotNull()).select(doc_id, text).mapInArrow(size, f"{doc_id} {id_type}, n_tokens int, n_words int, terms array<int>, counts array<smallint>")
 
 
+def signatures(terms: np.ndarray, sizes: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
+    """Per text the least hash of its terms that are rare, yet not its own: texts share it as they share such terms.
+
+    `sizes` has the number of terms of each text. Texts without such a term get `SIGNATURES`.
+    """
+    some = (df[terms] >= 2) & (df[terms] <= max(2, RARE * n_texts))
+    hashed = np.where(some, ((terms * 0x9E3779B1) & 0xFFFFFFFF) >> 16, SIGNATURES)
+    out = np.full(len(sizes), SIGNATURES, dtype=np.int64)
+    full = sizes > 0
+    if len(terms):
+        out[full] = np.minimum.reduceat(hashed, (np.cumsum(sizes) - sizes)[full])
+    return out
+
+
+def deal(load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per signature its first shard and its number of shards, by its texts' load in shares of a shard.
+
+    Neighbouring signatures fill a shard together; one with more than a shard's load has shards of its own.
+    """
+    first, parts = np.zeros(len(load), dtype=np.int64), np.ones(len(load), dtype=np.int64)
+    shard, held = 0, 0.0
+    for i in np.flatnonzero(load > 0):
+        if held > 0 and held + load[i] > 1:
+            shard, held = shard + 1, 0.0
+        first[i] = shard
+        if load[i] > 1:
+            parts[i] = math.ceil(load[i])
+            shard += int(parts[i])
+        else:
+            held += load[i]
+    return first, parts
+
+
 def bm25_scores(terms: np.ndarray, owner: np.ndarray, counts: np.ndarray, n_words: np.ndarray, idf: np.ndarray, mean_words: float) -> np.ndarray:
     """score[i, j]: BM25 of text j for text i's distinct terms as the query; owner is the text of each posting."""
     s = len(n_words)
@@ -158,14 +194,29 @@ def pack_texts(
         raise ValueError(f"more than {max_budgets} budgets")
     budget_list = [(r[0], r[1]) for r in chosen]
     texts = materialise(sized_texts(documents, doc_id, text, tokenizer), "sized")
-    total = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg("n_words"), F.lit(0.0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    n_texts, mean_words, n_terms = int(total[0]), float(total[1]), int(total[2])
+    total = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg("n_words"), F.lit(0.0))).first()
+    n_texts, mean_words = int(total[0]), float(total[1])
     seen = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toPandas()  # at most BUCKETS rows
     df = np.zeros(BUCKETS)
     df[seen["t"].to_numpy(dtype=np.int64)] = seen["df"]
     df = np.minimum(df, n_texts)  # two words of a text may share a bucket
+    counted = documents.sparkSession.sparkContext.broadcast(df.astype(np.float32))
     shared = documents.sparkSession.sparkContext.broadcast(np.log1p((n_texts - df + 0.5) / (df + 0.5)).astype(np.float32))
-    shards = max(1, -(-n_texts // shard_texts), -(-n_terms // SHARD_TERMS))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column("terms").offsets.to_numpy()).astype(np.int64)
+            found = signatures(batch.column("terms").flatten().to_numpy().astype(np.int64), sizes, counted.value, n_texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.int32))], names=[*batch.schema.names, "signature"])
+
+    def signed(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", signature int")
+
+    loads = signed(texts.select("terms")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).toPandas()  # at most SIGNATURES + 1 rows
+    load = np.zeros(SIGNATURES + 1)
+    load[loads["signature"]] = np.maximum(loads["n"] / shard_texts, loads["terms"] / SHARD_TERMS)
+    first, parts = deal(load)
+    table = documents.sparkSession.createDataFrame(pa.table({"signature": np.arange(SIGNATURES + 1, dtype=np.int32), "first": first, "parts": parts}))
 
     def pack(tab: pa.Table) -> pa.Table:
         tab = tab.combine_chunks().sort_by(doc_id)
@@ -195,7 +246,8 @@ def pack_texts(
         return pa.table(arrays, names=["budget_id", "capacity", "container", doc_id, "piece", "token_start", "n_tokens"])
 
     id_type = documents.schema[doc_id].dataType.simpleString()
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64(doc_id), F.lit(shards)))
+    placed = signed(texts).join(F.broadcast(table), "signature")  # SIGNATURES + 1 rows
+    dealt = placed.select(doc_id, "n_tokens", "n_words", "terms", "counts", (F.col("first") + F.pmod(F.xxhash64(doc_id), F.col("parts"))).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(pack, f"budget_id int, capacity int, container bigint, {doc_id} {id_type}, piece int, token_start bigint, n_tokens int")
 
 
