@@ -103,7 +103,7 @@ def subsample_individuals(individuals: DataFrame, k: int, seed: int) -> DataFram
     """`k` individuals per panel without replacement, all if k <= 0; drawn by a hash, whatever the partitioning."""
     if k <= 0:
         return individuals
-    w = Window.partitionBy("panel_id").orderBy(F.xxhash64("ind_idx", F.lit(seed)), "ind_idx")
+    w = Window.partitionBy("panel_id").orderBy(F.md5(F.concat_ws(":", F.col("ind_idx").cast("string"), F.lit(str(seed)))), "ind_idx")
     return individuals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

@@ -40,7 +40,8 @@ def resample_freq(freqs: DataFrame, n: int, seed: int, key: list[str]) -> DataFr
         return freqs
 
     def draw(i: Column) -> Column:
-        u = F.pmod(F.xxhash64(*key, i, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+        name = F.concat_ws(":", *(F.col(k).cast("string") for k in key), i.cast("string"), F.lit(str(seed)))
+        u = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
         return (u <= F.col("freq")).cast("int")
 
     hits = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, i: a + draw(i))

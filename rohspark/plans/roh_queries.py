@@ -242,6 +242,9 @@ def _query(sql: str | None = None, needs: str = ""):
     return add
 
 
+OFF = 1e-9  # added before rounding where halves of the last digit are common, as engines round these differently
+
+
 def _r(c, digits: int = 6):
     return F.round(c, digits)
 
@@ -301,7 +304,10 @@ def coded_genotype(spark, d):
     return sites.code_genotypes(_tped(spark, d)).select("file_id", "line_no", "chr", "locus_name", "allele", "ind", "g", "first_copy")
 
 
-@_query()
+_DRAWS = f"list_sum(list_transform(range(1, 101), lambda i: (('0x' || substr(md5(file_id || ':' || line_no || ':' || i || ':{P.seed}'), 1, 8))::BIGINT / 4294967296e0 <= freq)::INT)) / 100e0"
+
+
+@_query(f"SELECT file_id, line_no, chr, locus_name, allele, CASE WHEN freq > 0 THEN {_DRAWS} ELSE freq END AS freq FROM tfreq", "tfreq")
 def resample_freq(spark, d):
     return sites.resample_freq(sites.allele_freq(_tped(spark, d)), 100, P.seed, ["file_id", "line_no"]).select("file_id", "line_no", "chr", "locus_name", "allele", "freq")
 
@@ -442,20 +448,20 @@ def _pair_ld(spark, d, phased):
     return linkage.pair_ld(_numbered_calls(spark, d, s), s, P.w_ld, phased), s
 
 
-@_query("SELECT panel_id, chr, i::INT AS i, j::INT AS j, round(ld, 6) AS ld FROM hr2", "hr2")
+@_query("SELECT panel_id, chr, i::INT AS i, j::INT AS j, round(ld + 1e-9, 6) AS ld FROM hr2", "hr2")
 def pair_hr2(spark, d):
-    return _pair_ld(spark, d, False)[0].withColumn("ld", _r("ld"))
+    return _pair_ld(spark, d, False)[0].withColumn("ld", _r(F.col("ld") + OFF))
 
 
-@_query("SELECT panel_id, chr, i::INT AS i, j::INT AS j, round(ld, 6) AS ld FROM r2", "r2")
+@_query("SELECT panel_id, chr, i::INT AS i, j::INT AS j, round(ld + 1e-9, 6) AS ld FROM r2", "r2")
 def pair_r2(spark, d):
-    return _pair_ld(spark, d, True)[0].withColumn("ld", _r("ld"))
+    return _pair_ld(spark, d, True)[0].withColumn("ld", _r(F.col("ld") + OFF))
 
 
-@_query("SELECT panel_id, chr, win_start::INT AS win_start, idx::INT AS idx, round(ld_sum, 6) AS ld_sum FROM ldw", "ldw")
+@_query("SELECT panel_id, chr, win_start::INT AS win_start, idx::INT AS idx, round(ld_sum + 1e-9, 6) AS ld_sum FROM ldw", "ldw")
 def ld_weights(spark, d):
     pairs, s = _pair_ld(spark, d, False)
-    return linkage.ld_weights(pairs, s, P.w_ld).withColumn("ld_sum", _r("ld_sum"))
+    return linkage.ld_weights(pairs, s, P.w_ld).withColumn("ld_sum", _r(F.col("ld_sum") + OFF))
 
 
 @_query("SELECT panel_id, chr, idx::INT AS idx, round(weight, 6) AS weight FROM mbrk", "mbrk")
@@ -509,11 +515,16 @@ def lod_cutoff(spark, d):
     return density.lod_cutoffs(density.kde(_points(spark, d)), P.w).withColumn("cutoff", _r("cutoff"))
 
 
-@_query()
+_cte("people", "cur", f"SELECT panel_id, ind_idx FROM (SELECT DISTINCT panel_id, ind_idx FROM cur) QUALIFY row_number() OVER (PARTITION BY panel_id ORDER BY md5(ind_idx || ':{P.seed}'), ind_idx) <= {P.kde_individuals}")
+_cte("somethin", "thinned people", "SELECT t.* FROM thinned t JOIN people p ON p.panel_id = t.panel_id AND p.ind_idx = t.ind_idx")
+_kde_ctes("somethin", "_some")
+
+
+@_query("SELECT panel_id, i::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM kde_some", "kde_some")
 def kde_subsample(spark, d):
     chosen = roh.subsample_individuals(calls_of(spark, d).select("panel_id", "ind_idx").distinct(), P.kde_individuals, P.seed)
     points = windows_of(spark, d).join(broadcast_if_small(chosen), ["panel_id", "ind_idx"], "left_semi")
-    return density.kde(materialise(roh.thin(points, P.w).select("panel_id", "score"), "points"))
+    return density.kde(materialise(roh.thin(points, P.w).select("panel_id", "score"), "points")).select("panel_id", "i", _r("x").alias("x"), _r("y").alias("y"))
 
 
 @_query(" UNION ALL ".join(f"SELECT panel_id, {n} AS w, i::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM kde_w{n}" for n in P.sizes), " ".join(f"kde_w{n}" for n in P.sizes))
