@@ -23,11 +23,11 @@ SPAN = 20  # targets of a stretch in which modes and lines are sought
 def bandwidth(points: DataFrame, value: str = "score", by: tuple[str, ...] = ("panel_id",)) -> DataFrame:
     """Per group `n`, `lowest`, `highest` and `h` = 0.9 min(sd, IQR / 1.34) n^-0.2 with exact quartiles."""
     # counts of equal values first: the exact quartiles are then those of a weighted list
-    counts = points.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("w"))
-    quarter = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("w")).alias("quarters")
-    n, sx = F.sum("w"), F.sum(F.col("x") * F.col("w"))
-    stats = counts.groupBy(*by).agg(n.alias("n"), (sx / n).alias("mean"), F.min("x").alias("lowest"), F.max("x").alias("highest"), quarter)
-    spread = counts.join(broadcast_if_small(stats.select(*by, "mean", "n")), list(by)).groupBy(*by).agg(F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), F.lit(2.0))).alias("ss"))
+    counts = points.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    quarter = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("quarters")
+    n, sx = F.sum("_n"), F.sum(F.col("_x") * F.col("_n"))
+    stats = counts.groupBy(*by).agg(n.alias("n"), (sx / n).alias("mean"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"), quarter)
+    spread = counts.join(broadcast_if_small(stats.select(*by, "mean")), list(by)).groupBy(*by).agg(F.sum(F.col("_n") * F.pow(F.col("_x") - F.col("mean"), F.lit(2.0))).alias("ss"))
     both = stats.join(spread, list(by))
     sd = F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0).cast("bigint")))
     h = 0.9 * F.least(sd, (F.col("quarters")[1] - F.col("quarters")[0]) / 1.34) * F.pow(F.col("n"), F.lit(-0.2))

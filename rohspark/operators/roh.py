@@ -70,6 +70,15 @@ def window_scores(scored: DataFrame, w: int, value: str = "lod") -> DataFrame:
     return scored.withColumn("score", F.when(whole, F.sum(value).over(here)))
 
 
+def thinned_for_sizes(scored: DataFrame, sizes: list[int], value: str = "lod") -> DataFrame:
+    """(panel_id, w, score): what `thin` leaves of the scores of each window size, all from one pass over the sorted rows."""
+    windows = scored
+    for w in sizes:
+        windows = window_scores(windows, w, value).withColumnRenamed("score", f"_s{w}")
+    kept = [F.when((F.pmod("idx", F.lit(w)) == 0) & F.col(f"_s{w}").isNotNull() & ~F.isnan(f"_s{w}"), F.struct(F.lit(w).alias("w"), F.col(f"_s{w}").alias("score"))) for w in sizes]
+    return windows.select("panel_id", F.explode(F.array_compact(F.array(*kept))).alias("e")).select("panel_id", "e.w", "e.score")
+
+
 def coverage(windows: DataFrame, cutoff: float, w: int) -> DataFrame:
     """`windows` with `high` (score at or above the cutoff) and `cov`, the high windows that cover the site."""
     high = F.coalesce(F.col("score") >= cutoff, F.lit(False)).cast("int")

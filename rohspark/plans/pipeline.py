@@ -127,13 +127,23 @@ def run(spark: SparkSession, cfg: RohConfig) -> Result:
         windows = score(cfg, some, inputs.calls, s, w)
         return materialise(roh.thin(windows, 1 if cfg.no_kde_thinning else w).select("panel_id", "score"), "points")
 
+    def explored() -> DataFrame:
+        """Densities of the listed window sizes; unweighted scores of all sizes come from one pass."""
+        if cfg.weighted or cfg.no_kde_thinning:
+            return materialise(density.explore_winsizes(points, cfg.winsize_multi), "densities")
+        people = roh.subsample_individuals(inputs.individuals.select("panel_id", "ind_idx"), cfg.kde_subsample, cfg.seed)
+        some = inputs.calls.join(broadcast_if_small(people), ["panel_id", "ind_idx"], "left_semi")
+        scored = roh.score_sites(some, s, F.col("error") if cfg.tgls else cfg.error)
+        found = materialise(roh.thinned_for_sizes(scored, cfg.winsize_multi), "points")
+        return materialise(density.kde(found, by=("panel_id", "w")), "densities")
+
     d: DataFrame | None = None
     if cfg.winsize_multi and cfg.auto_winsize:
-        densities = materialise(density.explore_winsizes(points, cfg.winsize_multi), "densities")
+        densities = explored()
         w = density.first_smooth(density.wiggle(densities, ("panel_id", "w")), cfg.winsize_multi).first()["w"]
         d = densities.where(F.col("w") == w).drop("w")
     elif cfg.winsize_multi:
-        densities = materialise(density.explore_winsizes(points, cfg.winsize_multi), "densities")
+        densities = explored()
         for w in cfg.winsize_multi:
             sinks.write_kde(densities.where(F.col("w") == w), cfg.out, w)
         return Result(density=densities)

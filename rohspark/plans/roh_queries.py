@@ -490,6 +490,11 @@ def thin_windows(spark, d):
     return roh.thin(windows_of(spark, d), P.w).select(*roh.ENTITY, "idx", _r("score").alias("score"))
 
 
+def _densities(spark, d):
+    points = materialise(roh.thinned_for_sizes(scored_of(spark, d), list(P.sizes)), "points")
+    return density.kde(points, by=("panel_id", "w"))
+
+
 def _points(spark, d, w=P.w):
     return materialise(roh.thin(windows_of(spark, d, w), w).select("panel_id", "score"), "points")
 
@@ -529,13 +534,12 @@ def kde_subsample(spark, d):
 
 @_query(" UNION ALL ".join(f"SELECT panel_id, {n} AS w, i::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM kde_w{n}" for n in P.sizes), " ".join(f"kde_w{n}" for n in P.sizes))
 def explore_winsizes(spark, d):
-    return density.explore_winsizes(lambda w: _points(spark, d, w), list(P.sizes)).select("panel_id", "w", "i", _r("x").alias("x"), _r("y").alias("y"))
+    return _densities(spark, d).select("panel_id", "w", "i", _r("x").alias("x"), _r("y").alias("y"))
 
 
 @_query("SELECT panel_id, coalesce(min(CASE WHEN wiggle <= 0.5 THEN w END), max(w))::INT AS w FROM (" + " UNION ALL ".join(f"SELECT panel_id, {n} AS w, wiggle FROM wig_w{n}" for n in P.sizes) + ") GROUP BY panel_id", " ".join(f"wig_w{n}" for n in P.sizes))
 def select_winsize(spark, d):
-    densities = density.explore_winsizes(lambda w: _points(spark, d, w), list(P.sizes))
-    return density.first_smooth(density.wiggle(densities, ("panel_id", "w")), list(P.sizes))
+    return density.first_smooth(density.wiggle(_densities(spark, d), ("panel_id", "w")), list(P.sizes))
 
 
 def _kb(spark, d):
