@@ -38,8 +38,12 @@ def words(text: str) -> list[str]:
 def word_spans(text: str) -> list[tuple[int, int]]:
     """First and last + 1 code point in `text` of each of its `words`.
 
-    The text is cut where neighbours don't combine under NFKC; each cut piece's characters map to it.
+    Text that normalising leaves in place is searched as it is. Other text is cut where neighbours don't combine
+    under NFKC, and each cut piece's characters map to it.
     """
+    low = text.lower()
+    if len(low) == len(text) and (text.isascii() or unicodedata.is_normalized("NFKC", text)):
+        return [m.span() for m in _WORD.finditer(low)]
     pieces: list[int] = []  # the origin of each normalised character: index into bounds
     bounds: list[tuple[int, int]] = []
     out: list[str] = []
