@@ -91,17 +91,24 @@ def weigh(df: DataFrame, fields: list[str], weight: str | None = None) -> DataFr
     return df.groupBy(*fields).agg(F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
 
 
-def _summed(df: DataFrame, step, width: int) -> np.ndarray:
-    """Sum over all partitions of the vectors that `step` makes of pandas batches."""
+def _summed(df: DataFrame, step, width: int, at_driver: int = 1000) -> np.ndarray:
+    """Sum over all partitions of the vectors that `step` makes of pandas batches.
+
+    A partition gives one vector of `width`. Those of up to `at_driver` partitions are added up at the
+    driver, which spares a shuffle per iteration; more are added up by place first.
+    """
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(width)
         for pdf in batches:
             if len(pdf):
                 total += step(pdf)
-        yield pd.DataFrame({"i": np.arange(width, dtype="int32"), "v": total})
+        yield pd.DataFrame({"v": [total]})
 
-    rows = df.mapInPandas(partials, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # `width` rows
+    vectors = df.mapInPandas(partials, "v array<double>")
+    if df.rdd.getNumPartitions() <= at_driver:
+        return np.sum([r["v"] for r in vectors.collect()] or [np.zeros(width)], axis=0)
+    rows = vectors.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # `width` rows
     out = np.zeros(width)
     for r in rows:
         out[r["i"]] = r["v"]

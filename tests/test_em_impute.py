@@ -91,3 +91,14 @@ def test_filled_calls_agree_with_hidden_ones(spark):
     out = em_impute.fill_calls(spark.createDataFrame(rows, G), inds, spark.createDataFrame([("AA", "")], P)).where("g_was_filled").collect()
     assert len(out) == len(hidden)
     assert sum(hidden[(q["ind_idx"], q["locus_idx"])] == q["g_filled"] for q in out) / len(out) > 0.85
+
+
+def test_both_ways_of_adding_up(spark):
+    df = spark.range(100, numPartitions=5)
+
+    def step(pdf):
+        return np.array([len(pdf), pdf["id"].sum()], dtype=float)
+
+    for most in (0, 1000):
+        assert list(em_impute._summed(df, step, 2, at_driver=most)) == [100.0, 4950.0]
+        assert list(em_impute._summed(df.where("id < 0"), step, 2, at_driver=most)) == [0.0, 0.0]
