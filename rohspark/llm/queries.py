@@ -12,7 +12,7 @@ from rohspark.session import table
 
 def _call_runs(spark: SparkSession, d: str, min_events: int) -> DataFrame:
     genotypes = table(spark, d, "genotypes")
-    return runs.collapse_runs(current_calls(genotypes), ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events, range_of=genotypes)
+    return runs.collapse_runs(current_calls(genotypes), ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events, range_of=genotypes, unique=True)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -45,6 +45,16 @@ def _spans(pattern: re.Pattern, symbols: np.ndarray, breaks: np.ndarray) -> tupl
     return back[spans[:, 0]], back[spans[:, 1] - 1]
 
 
+def _weighted_spans(pattern: re.Pattern, symbols: np.ndarray, counts: np.ndarray, breaks: np.ndarray, min_flank: int) -> tuple[np.ndarray, np.ndarray]:
+    """`_spans` of symbols that stand for several events each; `min_flank` of one are all that the expression can tell apart."""
+    if (counts == 1).all():
+        return _spans(pattern, symbols, breaks)
+    index = np.repeat(np.arange(len(symbols)), np.minimum(counts, min_flank))
+    lead = np.concatenate([[True], index[1:] != index[:-1]])
+    i, j = _spans(pattern, symbols[index], breaks[index] & lead)
+    return index[i], index[j]
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     """Row number of each entry, and the flattened entries."""
     column = batch.column(name)
@@ -58,7 +68,7 @@ def _field(entries: pa.StructArray, name: str) -> np.ndarray:
 
 def collapse_runs(
     events: DataFrame, entity: list[str], order: str, position: str, symbol: str, max_step: int, min_flank: int = 5, min_events: int = 1, chunk: int = 4096,
-    range_of: DataFrame | None = None,
+    range_of: DataFrame | None = None, unique: bool = False,
 ) -> DataFrame:
     """One row per run: entity, `symbol`, `n_events`, `n_bridged`, `start_<position>`, `stop_<position>`, `extent`.
 
@@ -69,8 +79,9 @@ def collapse_runs(
     of the steps being wide; chains of these are one run, every other stretch a run by itself.
     `n_events` leaves out the bridged events, and runs with fewer than `min_events` are left out.
     `extent` is the distance of the outermost positions, both included. Events with the same entity
-    and order are taken in order of position, then symbol; repeated events count each. Further columns
-    are ignored. An empty table gives no rows.
+    and order are taken in order of position, then symbol; repeated events count each, and are counted
+    before they are gathered, so that copies of one event don't fill a task. `unique` promises that there are none, which
+    spares that step. Further columns are ignored. An empty table gives no rows.
 
     The range of `order`, which tells the number of chunks, is looked up first; `range_of` may name a table that is
     cheaper to read and whose `order` covers that of the events.
@@ -81,6 +92,11 @@ def collapse_runs(
     for c in (*entity, order, position):
         ok = ok & F.col(c).isNotNull()
     used = events.where(ok).select(*key, F.floor(F.col(order) / F.lit(chunk)).cast("bigint").alias("_chunk"), F.struct(F.col(order).cast("bigint").alias("o"), F.col(position).cast("bigint").alias("p"), F.col(symbol).cast("int").alias("s")).alias("_e"))
+    if unique:
+        used = used.withColumn("_e", F.struct("_e.o", "_e.p", "_e.s", F.lit(1).cast("bigint").alias("n")))
+    else:
+        counted = used.groupBy(*entity, "_chunk", "_e").agg(F.count(F.lit(1)).alias("n"))
+        used = counted.select(*entity, "_chunk", F.struct("_e.o", "_e.p", "_e.s", "n").alias("_e"))
     reach = (events.where(ok) if range_of is None else range_of).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     first, last = (int(reach["a"] // chunk), int(reach["b"] // chunk)) if reach["a"] is not None else (0, 0)
     grouped = used.groupBy(*entity, "_chunk").agg(F.sort_array(F.collect_list("_e")).alias("_es"))  # at most `chunk` orders a group
@@ -92,12 +108,14 @@ def collapse_runs(
             row, entries = _lists(batch, "_es")
             if not len(row):
                 continue
-            p, s = _field(entries, "p"), _field(entries, "s").astype(np.int64)
+            p, s, n = _field(entries, "p"), _field(entries, "s").astype(np.int64), _field(entries, "n")
             if s.max() > MAX_SYMBOL:
                 raise ValueError(f"symbols may not exceed {MAX_SYMBOL}")
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] - p[:-1] > max_step)])
-            i, j = _spans(pattern, s, new)
-            own = np.add.reduceat((s == np.repeat(s[i], j - i + 1)).astype(np.int64), i)
+            i, j = _weighted_spans(pattern, s, n, new, min_flank)
+            same = s == np.repeat(s[i], j - i + 1)
+            own = np.add.reduceat(np.where(same, n, 0), i)
+            other = np.add.reduceat(np.where(same, 0, n), i)
             r = row[i]
             head = np.concatenate([[True], r[1:] != r[:-1]])
             starts = np.flatnonzero(head)
@@ -109,7 +127,7 @@ def collapse_runs(
             keep = np.flatnonzero(is_open | (own >= min_events))
             rows = pa.array(r[keep])
             columns = [batch.column(c).take(rows) for c in entity]
-            columns += [pa.array(x[keep]) for x in (chunk_no, ordinal.astype(np.int32), is_open, cut, s[i].astype(np.int32), own, j - i + 1 - own, p[i], p[j])]
+            columns += [pa.array(x[keep]) for x in (chunk_no, ordinal.astype(np.int32), is_open, cut, s[i].astype(np.int32), own, other, p[i], p[j])]
             yield pa.RecordBatch.from_arrays(columns, names=[*entity, "_chunk", "_ord", "open", "cut", "s", "n", "nb", "a", "b"])
 
     runs = grouped.mapInArrow(find, schema)
@@ -126,11 +144,7 @@ def collapse_runs(
             s, n, nb, a, b, cut = (_field(e, c) for c in ("s", "n", "nb", "a", "b", "cut"))
             s = s.astype(np.int64)
             new = np.concatenate([[True], (row[1:] != row[:-1]) | cut[1:].astype(bool) | (a[1:] - b[:-1] > max_step)])
-            times = np.minimum(n, min_flank)  # all that the expression can tell apart
-            index = np.repeat(np.arange(len(s)), times)
-            lead = np.concatenate([[True], index[1:] != index[:-1]])
-            i, j = _spans(pattern, s[index], new[index] & lead)
-            i, j = index[i], index[j]
+            i, j = _weighted_spans(pattern, s, n, new, min_flank)
             same = s == np.repeat(s[i], j - i + 1)
             own = np.add.reduceat(np.where(same, n, 0), i)
             bridged = np.add.reduceat(np.where(same, nb, n), i)

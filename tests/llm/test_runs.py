@@ -52,6 +52,7 @@ def sequence(r, who, n, dull):
 def test_against_definition_for_any_chunk(spark, chunk):
     r = random.Random(chunk)
     events = [e for who in range(25) for e in sequence(r, who, 80, r.choice([0.5, 0.9, 0.97, 1.0]))]
+    events += [e for e in events if r.random() < 0.05]
     r.shuffle(events)
     df = spark.createDataFrame(events, S)
     for least in (1, 6):
@@ -69,6 +70,8 @@ def test_cases(spark):
     assert go(tie) == [(1, "a", 0, 3, 0, 3, 5, 3)]
     chain = [(1, "", i, i, int(i in (5, 11)), "") for i in range(17)]
     assert go(chain) == [(1, "", 0, 15, 2, 0, 16, 17)] == go(chain, chunk=4)
+    copies = [(1, "", i, i, 0, "") for i in (1, 2)] * 40 + [(1, "", 3, 3, 1, "")] + [(1, "", 4, 4, 0, "")] * 9 + [(1, "", 5, 5, 1, "")] * 2
+    assert go(copies) == [(1, "", 0, 89, 1, 1, 4, 4), (1, "", 1, 2, 0, 5, 5, 1)] == go(copies, chunk=2)
     long = [(1, "a", i, i, 7, "") for i in range(30_000)]
     assert go(long) == [(1, "a", 7, 30_000, 0, 0, 29_999, 30_000)]
     with pytest.raises(Exception, match="symbols"):
