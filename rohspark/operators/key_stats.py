@@ -22,7 +22,7 @@ CALLS = (0, 1, 2)
 
 _STATE = (
     "part int, chr string, n_rows bigint, calls bigint, missing bigint, n0 bigint, n1 bigint, n2 bigint, sites bigint,"
-    " first_site array<int>, last_site array<int>, first_call array<int>, last_call array<int>, last_g int"
+    " first_site array<bigint>, last_site array<bigint>, first_call array<bigint>, last_call array<bigint>, last_g int"
 )
 
 
@@ -76,13 +76,13 @@ class _Fold:
         }
 
 
-_NULL_KEY = np.iinfo(np.int32).min  # stands for null in a key; nulls sort first, as this does
+_NULL_KEY = np.iinfo(np.int64).min  # stands for null in a key; nulls sort first, as this does
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, schema = TaskContext.get().partitionId(), None
+    part = TaskContext.get().partitionId()
     out: list[dict] = []
     now: _Fold | None = None
     for batch in batches:
@@ -90,7 +90,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         codes = batch.column("chr").dictionary_encode()
         names, index = codes.dictionary.to_pylist(), codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        keys = np.stack([batch.column(c).fill_null(_NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("panel_id", "locus_idx", "ind_idx")], axis=1)
+        keys = np.stack([batch.column(c).cast(pa.int64()).fill_null(_NULL_KEY).to_numpy(zero_copy_only=False) for c in ("panel_id", "locus_idx", "ind_idx")], axis=1)
         g = batch.column("g").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         cuts = [0, *(np.flatnonzero(index[1:] != index[:-1]) + 1), len(g)]
         for a, b in zip(cuts, cuts[1:]):
@@ -103,7 +103,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if now is not None:
         out.append(now.state())
     schema = pa.schema(
-        [("part", pa.int32()), ("chr", pa.string())] + [(c, pa.int64()) for c in ("n_rows", "calls", "missing", "n0", "n1", "n2", "sites")] + [(c, pa.list_(pa.int32())) for c in ("first_site", "last_site", "first_call", "last_call")] + [("last_g", pa.int32())]
+        [("part", pa.int32()), ("chr", pa.string())] + [(c, pa.int64()) for c in ("n_rows", "calls", "missing", "n0", "n1", "n2", "sites")] + [(c, pa.list_(pa.int64())) for c in ("first_site", "last_site", "first_call", "last_call")] + [("last_g", pa.int32())]
     )
     for i in range(0, len(out), 10_000):
         yield pa.RecordBatch.from_pylist(out[i : i + 10_000], schema=schema)
