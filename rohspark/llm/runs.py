@@ -92,9 +92,7 @@ def collapse_runs(
     for c in (*entity, order, position):
         ok = ok & F.col(c).isNotNull()
     used = events.where(ok).select(*key, F.floor(F.col(order) / F.lit(chunk)).cast("bigint").alias("_chunk"), F.struct(F.col(order).cast("bigint").alias("o"), F.col(position).cast("bigint").alias("p"), F.col(symbol).cast("int").alias("s")).alias("_e"))
-    if unique:
-        used = used.withColumn("_e", F.struct("_e.o", "_e.p", "_e.s", F.lit(1).cast("bigint").alias("n")))
-    else:
+    if not unique:
         counted = used.groupBy(*entity, "_chunk", "_e").agg(F.count(F.lit(1)).alias("n"))
         used = counted.select(*entity, "_chunk", F.struct("_e.o", "_e.p", "_e.s", "n").alias("_e"))
     reach = (events.where(ok) if range_of is None else range_of).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
@@ -108,7 +106,7 @@ def collapse_runs(
             row, entries = _lists(batch, "_es")
             if not len(row):
                 continue
-            p, s, n = _field(entries, "p"), _field(entries, "s").astype(np.int64), _field(entries, "n")
+            p, s, n = _field(entries, "p"), _field(entries, "s").astype(np.int64), np.ones(len(row), dtype=np.int64) if unique else _field(entries, "n")
             if s.max() > MAX_SYMBOL:
                 raise ValueError(f"symbols may not exceed {MAX_SYMBOL}")
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] - p[:-1] > max_step)])
