@@ -1,23 +1,22 @@
 """Packing texts into containers of fixed capacity, neighbours by BM25 together.
 
 One pass sizes every text in tokens and reduces it to hashed terms with their counts. Document
-frequencies are counted over all texts. Texts are then dealt to shards of bounded size, those that
-share rare terms to the same one where it has room; each shard holds an inverted index of its texts and scores
-all of them as queries against it. For each capacity, seeds are taken by falling size, and the unused neighbours
-that the index returns fill the seed's window greedily. A shard is one task and needs nothing of
-any other, so the work grows with the number of shards alone.
+frequencies are counted over all texts. For each capacity, one task holds an inverted index of all texts; seeds are
+taken by falling size, each is scored against every text that is still unused, and the best of these fill its
+window greedily. No text is out of a seed's reach, whatever the number of texts, so the work grows with
+its square, and the index must fit the memory of a task.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +29,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 BUCKETS = 1 << 18  # terms are hashed to so many, which bounds the table of document frequencies
 K1, B = 1.2, 0.75
-SHARD_TEXTS, SHARD_TERMS = 2048, 4_000_000
+SHARD_TEXTS = 2048  # seeds that are scored together, at most
 FIT = 2.0  # how strongly the share of the room that an item takes weighs beside its score
-SIGNATURES = 1 << 16  # lexical signatures, by which texts are dealt to shards
-RARE = 0.05  # a term in a larger share of the texts than this doesn't take part in signatures
-_DENSE = 24  # terms in at least so many texts of a shard are scored by a matrix product
+_DENSE = 256  # so many of the commonest terms are scored by a matrix product
+_CELLS = 1 << 23  # scores held at once
+
 
 
 def load_tokenizer(ranks: bytes):
@@ -85,96 +84,129 @@ def sized_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return documents.where(F.col(text).isNotNull()).select(doc_id, text).mapInArrow(size, f"{doc_id} {id_type}, n_tokens int, n_words int, terms array<int>, counts array<smallint>")
 
 
-def signatures(terms: np.ndarray, sizes: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
-    """Per text the least hash of its terms that are rare, yet not its own: texts share it as they share such terms.
-
-    `sizes` has the number of terms of each text. Texts without such a term get `SIGNATURES`.
-    """
-    some = (df[terms] >= 2) & (df[terms] <= max(2, RARE * n_texts))
-    hashed = np.where(some, ((terms * 0x9E3779B1) & 0xFFFFFFFF) >> 16, SIGNATURES)
-    out = np.full(len(sizes), SIGNATURES, dtype=np.int64)
-    full = sizes > 0
-    if len(terms):
-        out[full] = np.minimum.reduceat(hashed, (np.cumsum(sizes) - sizes)[full])
-    return out
-
-
-def deal(load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per signature its first shard and its number of shards, by its texts' load in shares of a shard.
-
-    Neighbouring signatures fill a shard together; one with more than a shard's load has shards of its own.
-    """
-    first, parts = np.zeros(len(load), dtype=np.int64), np.ones(len(load), dtype=np.int64)
-    shard, held = 0, 0.0
-    for i in np.flatnonzero(load > 0):
-        if held > 0 and held + load[i] > 1:
-            shard, held = shard + 1, 0.0
-        first[i] = shard
-        if load[i] > 1:
-            parts[i] = math.ceil(load[i])
-            shard += int(parts[i])
-        else:
-            held += load[i]
-    return first, parts
+class Bm25:
+    """An inverted index of texts, to which they are added in batches."""
+
+    def __init__(self, n_texts: int, idf: np.ndarray, mean_words: float):
+        self.idf, self.mean_words, self.n = idf.astype(np.float32), mean_words, 0
+        common = np.argsort(idf, kind="stable")[:_DENSE]
+        self.column = np.full(len(idf), -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((n_texts, len(common)), dtype=np.float32)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, terms: np.ndarray, owner: np.ndarray, counts: np.ndarray, n_words: np.ndarray) -> None:
+        """Further texts; `owner` is the text of each posting, in rising order from 0."""
+        norm = (K1 * (1 - B + B * n_words / max(self.mean_words, 1e-9))).astype(np.float32)
+        weight = self.idf[terms] * (counts * np.float32(K1 + 1) / (counts + norm[owner]))
+        column = self.column[terms]
+        dense = column >= 0
+        self.matrix[self.n + owner[dense], column[dense]] = weight[dense]
+        self.parts.append((terms[~dense].astype(np.int32), np.bincount(owner[~dense], minlength=len(n_words)), weight[~dense]))
+        self.n += len(n_words)
+
+    def take(self, texts: np.ndarray) -> None:
+        """Ends the adding: the index holds `texts`, in that order."""
+        none = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+        self.asked, sizes, weight = (np.concatenate(c) for c in zip(none, *self.parts))
+        self.parts = []
+        self.matrix = self.matrix[texts]
+        ends = np.cumsum(sizes)
+        self.first, self.last = (ends - sizes)[texts], ends[texts]
+        number = np.full(self.n, -1, dtype=np.int32)
+        number[texts] = np.arange(len(texts))
+        text = np.repeat(number, sizes)
+        by = np.argsort(self.asked, kind="stable").astype(np.int32 if len(text) < 1 << 31 else np.int64)
+        by = by[text[by] >= 0]
+        self.term, self.text, self.weight = self.asked[by], text[by], weight[by]
+        self._point()
+
+    def _point(self) -> None:
+        self.begin = np.searchsorted(self.term, np.arange(len(self.idf) + 1, dtype=np.int32))
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Drops the texts that aren't marked; the others are numbered anew."""
+        self.matrix, self.first, self.last = self.matrix[kept], self.first[kept], self.last[kept]
+        there = kept[self.text]
+        self.term, self.weight = self.term[there], self.weight[there]
+        self.text = (np.cumsum(kept) - 1).astype(np.int32)[self.text[there]]
+        self._point()
+
+    def scores(self, texts: np.ndarray) -> np.ndarray:
+        """score[i, j]: BM25 of text j for the distinct terms of texts[i] as the query."""
+        out = (self.matrix[texts] > 0).astype(np.float32) @ self.matrix.T
+        for row, i in zip(out, texts):
+            terms = self.asked[self.first[i] : self.last[i]]
+            spans = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist()))
+            if spans:
+                found = np.concatenate([self.text[a:b] for a, b in spans])
+                row += np.bincount(found, np.concatenate([self.weight[a:b] for a, b in spans]), minlength=len(row))
+        return out
+
+
+class _Matrix:
+    """Scores that are at hand, as an index."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+
+    def keep(self, kept: np.ndarray) -> None:
+        self.matrix = self.matrix[np.ix_(kept, kept)]
+
+    def scores(self, texts: np.ndarray) -> np.ndarray:
+        return self.matrix[texts]
 
 
 def bm25_scores(terms: np.ndarray, owner: np.ndarray, counts: np.ndarray, n_words: np.ndarray, idf: np.ndarray, mean_words: float) -> np.ndarray:
     """score[i, j]: BM25 of text j for text i's distinct terms as the query; owner is the text of each posting."""
-    s = len(n_words)
-    norm = K1 * (1 - B + B * n_words / max(mean_words, 1e-9))
-    weight = (idf[terms] * counts * (K1 + 1) / (counts + norm[owner])).astype(np.float32)
-    by = np.lexsort((owner, terms))
-    terms, owner, weight = terms[by], owner[by], weight[by]
-    head = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, dtype=np.int64)
-    sizes = np.diff(np.append(head, len(terms)))
-    scores = np.zeros((s, s), dtype=np.float32)
-    dense = sizes >= _DENSE
-    column = np.repeat(np.where(dense, np.cumsum(dense) - 1, -1), sizes)
-    for first in range(0, int(dense.sum()), 1024):
-        there = (column >= first) & (column < first + 1024)
-        w = np.zeros((s, 1024), dtype=np.float32)
-        w[owner[there], column[there] - first] = weight[there]
-        scores += (w > 0).astype(np.float32) @ w.T
-    rare = np.repeat(~dense & (sizes > 1), sizes)
-    term, own, wt = terms[rare], owner[rare], weight[rare]
-    for apart in range(1, _DENSE):  # all pairs of a rare term's postings, which are fewer than _DENSE
-        a = np.flatnonzero(term[apart:] == term[:-apart])
-        if not len(a):
-            break
-        np.add.at(scores, (own[a], own[a + apart]), wt[a + apart])
-        np.add.at(scores, (own[a + apart], own[a]), wt[a])
-    return scores
-
-
-def fill_windows(sizes: np.ndarray, capacity: int, scores: np.ndarray) -> np.ndarray:
+    index, every = Bm25(len(n_words), idf, mean_words), np.arange(len(n_words))
+    index.add(terms, owner, counts, n_words)
+    index.take(every)
+    return index.scores(every)
+
+
+def fill_windows(sizes: np.ndarray, capacity: int, scores: np.ndarray | Bm25, together: int = SHARD_TEXTS) -> np.ndarray:
     """The container of each item, none of which exceeds the capacity.
 
     Seeds come by falling size. Of the unused items that fit, the one with the best score goes in
     next, until none fits. The score is weighed by the share of the room that the item takes, so that
-    a window isn't left with gaps that only rarer sizes would fill.
+    a window isn't left with gaps that only rarer sizes would fill. `scores` is a matrix, or an index, whose
+    items must come by falling size and which is used up; up to `together` seeds are scored at once.
     """
-    n = len(sizes)
-    container = np.full(n, -1, dtype=np.int64)
-    order = np.lexsort((np.arange(n), -sizes))
-    free = np.ones(n, dtype=bool)
-    made = 0
-    for seed in order:
-        if not free[seed]:
-            continue
-        free[seed] = False
-        container[seed] = made
-        room = capacity - int(sizes[seed])
-        near = scores[seed] + np.float32(1e-3)
-        left = np.flatnonzero(free & (sizes <= room))
-        while len(left):
-            share = sizes[left] / max(room, 1)
-            pick = left[int(np.argmax(near[left] * share**FIT))]
-            free[pick] = False
-            container[pick] = made
-            room -= int(sizes[pick])
-            left = left[(left != pick) & (sizes[left] <= room)]
-        made += 1
-    return container
+    order = np.lexsort((np.arange(len(sizes)), -sizes))
+    index = scores if isinstance(scores, Bm25) else _Matrix(scores[np.ix_(order, order)])
+    container = np.full(len(sizes), -1, dtype=np.int64)
+    items, size = order, sizes[order]
+    gain = np.maximum(size, 0.01).astype(np.float32) ** np.float32(FIT)  # 0 once an item is used
+    made = at = 0
+    while True:
+        free = gain > 0
+        if not free.any():
+            return container
+        if 2 * int(free.sum()) <= len(free):
+            index.keep(free)
+            items, size, gain, at = items[free], size[free], gain[free], 0
+        seeds = at + np.flatnonzero(gain[at:] > 0)[: max(1, min(together, _CELLS // len(items)))]
+        rows, falling = index.scores(seeds), -size
+        for near, seed in zip(rows, seeds):
+            if gain[seed] == 0:
+                continue
+            gain[seed] = 0
+            container[items[seed]] = made
+            room = capacity - int(size[seed])
+            first = int(np.searchsorted(falling, -room))
+            worth = (near[first:] + np.float32(1e-3)) * gain[first:]
+            while len(worth):
+                pick = int(worth.argmax())
+                if worth[pick] <= 0:
+                    break
+                worth[pick] = gain[first + pick] = 0
+                container[items[first + pick]] = made
+                room -= int(size[first + pick])
+                behind = int(np.searchsorted(falling, -room))
+                first, worth = max(first, behind), worth[max(0, behind - first) :]
+            made += 1
+        at = int(seeds[-1]) + 1
 
 
 def pack_texts(
@@ -185,7 +217,7 @@ def pack_texts(
     A text within the capacity is one piece. A larger one is cut: into pieces that fill a container each and
     a rest, which is packed like a text of its size. No container holds more than its capacity;
     `container` is unique within a budget. Empty texts take no room and are assigned like others;
-    null texts are left out. Repeated rows are items of their own. Budgets with a null id or capacity or a capacity below
+    null texts are left out. `shard_texts` bounds the seeds that are scored together, which doesn't change the result. Repeated rows are items of their own. Budgets with a null id or capacity or a capacity below
     1 are left out and repeated ones count once. Further columns are ignored; empty tables give
     no rows.
     """
@@ -200,55 +232,41 @@ def pack_texts(
     df = np.zeros(BUCKETS)
     df[seen["t"].to_numpy(dtype=np.int64)] = seen["df"]
     df = np.minimum(df, n_texts)  # two words of a text may share a bucket
-    counted = documents.sparkSession.sparkContext.broadcast(df.astype(np.float32))
     shared = documents.sparkSession.sparkContext.broadcast(np.log1p((n_texts - df + 0.5) / (df + 0.5)).astype(np.float32))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        budget_id, capacity = (k.as_py() for k in key)
+        index = Bm25(n_texts, shared.value, mean_words)
+        heads = []
         for batch in batches:
-            sizes = np.diff(batch.column("terms").offsets.to_numpy()).astype(np.int64)
-            found = signatures(batch.column("terms").flatten().to_numpy().astype(np.int64), sizes, counted.value, n_texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.int32))], names=[*batch.schema.names, "signature"])
-
-    def signed(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", signature int")
-
-    loads = signed(texts.select("terms")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).toPandas()  # at most SIGNATURES + 1 rows
-    load = np.zeros(SIGNATURES + 1)
-    load[loads["signature"]] = np.maximum(loads["n"] / shard_texts, loads["terms"] / SHARD_TERMS)
-    first, parts = deal(load)
-    table = documents.sparkSession.createDataFrame(pa.table({"signature": np.arange(SIGNATURES + 1, dtype=np.int32), "first": first, "parts": parts}))
-
-    def pack(tab: pa.Table) -> pa.Table:
-        tab = tab.combine_chunks().sort_by(doc_id)
-        n_tokens, n_words = (tab.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "n_words"))
-        lists = [tab.column(c).combine_chunks() for c in ("terms", "counts")]
-        owner = np.repeat(np.arange(len(n_tokens)), np.diff(lists[0].offsets.to_numpy()))
-        terms, counts = lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy().astype(np.float32)
-        scores = bm25_scores(terms, owner, counts, n_words, shared.value, mean_words)
-        base = tab.column("shard")[0].as_py() << 32
-        out: list[list[np.ndarray]] = []
-        for budget_id, capacity in budget_list:
-            whole, rest = n_tokens // capacity, n_tokens % capacity
-            items = np.flatnonzero((rest > 0) | (n_tokens == 0))
-            place = fill_windows(rest[items], capacity, scores[np.ix_(items, items)])
-            made = int(place.max()) + 1 if len(items) else 0
-            full = np.repeat(np.arange(len(n_tokens)), whole)
-            piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
-            at = np.concatenate([items, full])
-            pieces = np.concatenate([whole[items], piece])
-            sizes = np.concatenate([rest[items], np.full(len(full), capacity)])
-            containers = base + np.concatenate([place, made + np.arange(len(full))])
-            out.append([np.full(len(at), budget_id), np.full(len(at), capacity), containers, at, pieces, pieces * capacity, sizes])
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 7
-        ids = tab.column(doc_id).take(pa.array(columns[3].astype(np.int64)))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), None, pa.int32(), pa.int64(), pa.int32()]
-        arrays = [ids if t is None else pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, kinds)]
-        return pa.table(arrays, names=["budget_id", "capacity", "container", doc_id, "piece", "token_start", "n_tokens"])
+            lists, n_words = [batch.column(c) for c in ("terms", "counts")], batch.column("n_words").to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(lists[0].offsets.to_numpy()))
+            index.add(lists[0].flatten().to_numpy(), owner, lists[1].flatten().to_numpy().astype(np.float32), n_words.astype(np.int64))
+            heads.append(batch.select([doc_id, "n_tokens", "n_words"]).take(pa.array(np.arange(batch.num_rows))))  # a copy, so that the batch isn't held
+        tab = pa.Table.from_batches(heads).combine_chunks()
+        by = pc.sort_indices(tab, [(c, "ascending") for c in (doc_id, "n_tokens", "n_words")])
+        tab, by = tab.take(by), by.to_numpy().astype(np.int64)
+        ids, n_tokens = tab.column(doc_id), tab.column("n_tokens").to_numpy().astype(np.int64)
+        whole, rest = n_tokens // capacity, n_tokens % capacity
+        items = np.flatnonzero((rest > 0) | (n_tokens == 0))
+        items = items[np.argsort(-rest[items], kind="stable")]
+        index.take(by[items])
+        place = fill_windows(rest[items], capacity, index, shard_texts)
+        made = int(place.max()) + 1 if len(items) else 0
+        full = np.repeat(np.arange(len(n_tokens)), whole)
+        piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
+        pieces = np.concatenate([whole[items], piece])
+        sizes = np.concatenate([rest[items], np.full(len(full), capacity)])
+        containers = np.concatenate([place, made + np.arange(len(full))])
+        at = np.concatenate([items, full])
+        ours = [pa.array(np.full(len(at), v, dtype=np.int32)) for v in (budget_id, capacity)]
+        arrays = [*ours, pa.array(containers), ids.take(pa.array(at)), pa.array(pieces.astype(np.int32)), pa.array(pieces * capacity), pa.array(sizes.astype(np.int32))]
+        yield from pa.table(arrays, names=["budget_id", "capacity", "container", doc_id, "piece", "token_start", "n_tokens"]).combine_chunks().to_batches(max_chunksize=100_000)
 
     id_type = documents.schema[doc_id].dataType.simpleString()
-    placed = signed(texts).join(F.broadcast(table), "signature")  # SIGNATURES + 1 rows
-    dealt = placed.select(doc_id, "n_tokens", "n_words", "terms", "counts", (F.col("first") + F.pmod(F.xxhash64(doc_id), F.col("parts"))).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(pack, f"budget_id int, capacity int, container bigint, {doc_id} {id_type}, piece int, token_start bigint, n_tokens int")
+    every = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity")) for b, c in budget_list])) if budget_list else F.explode(F.lit(None).cast("array<struct<budget_id:int,capacity:int>>"))
+    asked = texts.withColumn("_b", every).select("_b.budget_id", "_b.capacity", doc_id, "n_tokens", "n_words", "terms", "counts")
+    return asked.groupBy("budget_id", "capacity").applyInArrow(pack, f"budget_id int, capacity int, container bigint, {doc_id} {id_type}, piece int, token_start bigint, n_tokens int")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

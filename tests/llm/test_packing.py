@@ -121,3 +121,33 @@ def test_empty_tables(spark):
     assert twice.selectExpr("sum(n_tokens)").first()[0] == 2 * n
     with pytest.raises(ValueError):
         packing.pack_texts(e, spark.createDataFrame([(1, 5, 0), (2, 6, 0)], B), max_budgets=1)
+
+
+def test_every_text_is_a_candidate_of_every_seed(spark):
+    rows = docs(400, 7)
+    texts = packing.sized_texts(spark.createDataFrame(rows, D)).orderBy("doc_id").collect()
+    n, mean = len(texts), sum(r["n_words"] for r in texts) / len(texts)
+    owner = np.repeat(np.arange(n), [len(r["terms"]) for r in texts])
+    terms, counts = (np.array([x for r in texts for x in r[c]]) for c in ("terms", "counts"))
+    df = np.bincount(terms, minlength=packing.BUCKETS)
+    scores = packing.bm25_scores(terms, owner, counts.astype(np.float32), np.array([r["n_words"] for r in texts]), np.log1p((n - df + 0.5) / (df + 0.5)), mean)
+    rest = np.array([r["n_tokens"] % 300 for r in texts])
+    free, want = {i for i in range(n) if rest[i]}, set()
+    for seed in sorted(free, key=lambda i: (-rest[i], i)):
+        if seed not in free:
+            continue
+        free.discard(seed)
+        mine, room = [seed], 300 - rest[seed]
+        while fitting := [i for i in free if rest[i] <= room]:
+            pick = max(fitting, key=lambda i: (scores[seed, i] + 1e-3) * rest[i] ** 2)
+            free.discard(pick)
+            mine.append(pick)
+            room -= rest[pick]
+        want.add(frozenset(mine))
+    for together in (40, 2048):
+        by = {}
+        for r in packing.pack_texts(spark.createDataFrame(rows, D), spark.createDataFrame([(1, 300, 0)], B), shard_texts=together).collect():
+            if r["n_tokens"] < 300:
+                by.setdefault(r["container"], set()).add(r["doc_id"])
+        got = {frozenset(c) for c in by.values()}
+        assert len(got & want) >= 0.98 * len(want)  # sums in another order may break a tie
