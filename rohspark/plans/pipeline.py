@@ -88,6 +88,9 @@ def load(spark: SparkSession, cfg: RohConfig) -> Inputs:
 def prepared_sites(cfg: RohConfig, inputs: Inputs) -> DataFrame:
     """Sites that are left, numbered, with breaks and, where there is a map, genetic positions and weights."""
     if inputs.genmap is not None and (cfg.weighted or cfg.cm):
+        unmapped = inputs.freqs.select("panel_id", "chr").distinct().join(sites.map_range(inputs.genmap), ["panel_id", "chr"], "left_anti").select("chr").distinct().orderBy("chr").limit(20).collect()
+        if unmapped:
+            raise ValueError(f"the genetic map has no rows for {', '.join(r['chr'] for r in unmapped)}")
         kept = sites.interpolate_map(sites.filter_out_of_bounds(inputs.freqs, inputs.genmap, inputs.centromeres), inputs.genmap)
         numbered = linkage.site_weights(sites.number_sites(kept), cfg.M, cfg.mu)
     else:

@@ -147,6 +147,15 @@ def test_runs_from_files(spark, tmp_path):
         pipeline.run(spark, RohConfig(**{**base, "tfam": str(tmp_path / "few.tfam")}, out=str(tmp_path / "e")))
 
 
+def test_a_chr_without_map_raises(spark, tmp_path):
+    simulate(tmp_path, 40, 4)
+    gmap = [x for x in (tmp_path / "s.map").read_text().splitlines() if not x.startswith("2 ")]
+    (tmp_path / "s.map").write_text("\n".join(gmap) + "\n")
+    cfg = RohConfig(tped=str(tmp_path / "s.tped"), tfam=str(tmp_path / "s.tfam"), centromere=str(tmp_path / "s.cen"), error=0.01, winsize=5, map=str(tmp_path / "s.map"), cm=True, out=str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="no rows for chr2"):
+        pipeline.prepared_sites(cfg, pipeline.load(spark, cfg))
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a").write_text("1 rs1 0 5 A G A A\n\nshort\n")
