@@ -69,9 +69,12 @@ def load(spark: SparkSession, cfg: RohConfig) -> Inputs:
         raise ValueError(f"a line holds the genotypes of another number of individuals than the {n} that are listed")
     calls = sites.code_genotypes(records.select("panel_id", "chr", "locus_idx", "ppos", "alleles"), cfg.tped_missing).withColumnRenamed("ind", "ind_idx").drop("allele", "freq")
     if cfg.tgls:
-        gl = readers.read_tgls(spark, cfg.tgls, n).select("chr", "ppos", F.col("ind").alias("ind_idx"), exprs.gl_to_error("value", cfg.gl_type).alias("error"))
-        gl = gl.groupBy("chr", "ppos", "ind_idx").agg(F.max("error").alias("error"))
-        calls = calls.join(gl, ["chr", "ppos", "ind_idx"])
+        keys = ["chr", "ppos", "ind_idx"]
+        gl = readers.read_tgls(spark, cfg.tgls, n).select("file", "line_no", "chr", "ppos", F.col("ind").alias("ind_idx"), exprs.gl_to_error("value", cfg.gl_type).alias("error"))
+        gl = gl.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("file", "line_no"))).select(*keys, "nth", "error", F.lit(True).alias("_there"))
+        calls = calls.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("locus_idx"))).join(gl, [*keys, "nth"], "left").drop("nth")
+        lacking = F.concat(F.lit("a call has no likelihood: "), "chr", F.lit(" "), F.col("ppos").cast("string"))
+        calls = calls.withColumn("error", F.when(F.col("_there").isNull(), F.raise_error(lacking)).otherwise(F.col("error"))).drop("_there")
     calls = materialise(calls, "calls")
     freqs = records.select(*sites.SITE, "ppos", "locus_name", "allele", "freq")
     if cfg.freq_file:

@@ -7,6 +7,7 @@ import pytest
 
 from rohspark.cli import main, parser
 from rohspark.config import RohConfig
+from rohspark.functions import exprs
 from rohspark.plans import pipeline
 from rohspark.sources import builds, readers, sinks
 from rohspark.streaming import freqs as stream
@@ -156,6 +157,21 @@ def test_a_chr_without_map_raises(spark, tmp_path):
         pipeline.prepared_sites(cfg, pipeline.load(spark, cfg))
 
 
+def test_likelihoods_keep_to_their_lines(spark, tmp_path):
+    (tmp_path / "a.tped").write_text("1 rs1 0 5 A G A A\n1 rs2 0 5 A A G G\n1 rs3 0 9 A G G G\n")
+    (tmp_path / "a.tfam").write_text("P i0\nP i1\n")
+    gl = ["1 rs1 0 5 11 12\n", "1 rs2 0 5 13 14\n", "1 rs3 0 9 15 16\n"]
+    cfg = RohConfig(tped=str(tmp_path / "a.tped"), tfam=str(tmp_path / "a.tfam"), tgls=str(tmp_path / "a.tgls"), gl_type="GQ", build="hg19", winsize=2, out=str(tmp_path / "o"))
+    (tmp_path / "a.tgls").write_text("".join(gl))
+    calls = pipeline.load(spark, cfg).calls
+    each = {(r["locus_idx"], r["ind_idx"]): r["error"] for r in calls.collect()}
+    want = {(int(k), int(i)): e for k, i, e in [(r["line_no"] - 1, r["ind"], r["error"]) for r in readers.read_tgls(spark, cfg.tgls, 2).withColumn("error", exprs.gl_to_error("value", "GQ")).collect()]}
+    assert each == want and len(set(each.values())) == 6
+    (tmp_path / "a.tgls").write_text("".join(gl[:2]))
+    with pytest.raises(Exception, match="no likelihood"):
+        pipeline.load(spark, cfg)
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a").write_text("1 rs1 0 5 A G A A\n\nshort\n")
