@@ -2,8 +2,8 @@
 
 Words of normalised text are the alphabet: each word of the test items gets one character, every
 other word the same filler, so a text becomes a short string that the automaton scans once. Its
-patterns are all runs of `n` words of each passage, and the whole passage (or answer, where asked for) if
-it is shorter. Only the automaton travels to the tasks; the texts are neither shuffled nor copied. Its
+patterns are all runs of `n` words of each passage (with the answer behind it, where asked for), and the
+whole of it if it is shorter. Only the automaton travels to the tasks; the texts are neither shuffled nor copied. Its
 size is bounded: where the items have more patterns than `max_patterns`, they are scanned in several
 blocks of that size, each over all texts.
 """
