@@ -9,7 +9,7 @@
 Each line is a record-start anchor, so a broken quote never swallows the next line. Within a line the
 parser goes on after an error: behind a broken quote it resumes at the next place that validates as
 a record's start (a chr followed by a locus name, or by a number), else at the next separator, so that
-all errors of the line are located. Parsing one line needs no other line: there is no shuffle.
+all errors of the line are located. What stands behind such a start is a record of its own, given beside the failed line. Parsing one line needs no other line: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ _CLOSE = re.compile(f'"(?=[{_SEP}]|\\Z)')
 
 OUT = (
     "status string, reason string, error_field int, error_col int, n_errors int, errors array<struct<reason:string,field:int,col:int>>,"
-    " chr string, locus_name string, gpos double, ppos bigint, c_start bigint, c_end bigint, alleles array<string>"
+    " chr string, locus_name string, gpos double, ppos bigint, c_start bigint, c_end bigint, alleles array<string>,"
+    " recovered array<struct<col:int,chr:string,locus_name:string,gpos:double,ppos:bigint,c_start:bigint,c_end:bigint,alleles:array<string>>>"
 )
-_NAMES = ["status", "reason", "error_field", "error_col", "n_errors", "errors", "chr", "locus_name", "gpos", "ppos", "c_start", "c_end", "alleles"]
+_NAMES = ["status", "reason", "error_field", "error_col", "n_errors", "errors", "chr", "locus_name", "gpos", "ppos", "c_start", "c_end", "alleles", "recovered"]
 
 
 class LineParser:
@@ -48,6 +49,7 @@ class LineParser:
         self.text, self.at, self.errors = text, 0, []
         self.fields: list[str] = []
         self.starts: list[int] = []
+        self.anchors: list[tuple[int, int]] = []  # column of each record start resumed at, and the fields before it
 
     def fail(self, reason: str, col: int, field: int | None = None) -> None:
         self.errors.append((reason, len(self.fields) if field is None else field, col))
@@ -102,6 +104,7 @@ class LineParser:
             second = space and _BARE.match(self.text, space.end())
             if second and CHR.fullmatch(first[0]) and first[0].startswith("chr") and (LOCUS.fullmatch(second[0]) or POSITION.fullmatch(second[0])):
                 self.at = gap.start()
+                self.anchors.append((gap.end(), len(self.fields) + 1))
                 return
         m = _SPACE.search(self.text, self.at)
         self.at = m.start() if m else len(self.text)
@@ -115,47 +118,57 @@ def _position(p: LineParser, i: int, what: str) -> int | None:
     return None
 
 
+def _behind_anchors(kind: str | None, n_ind: int | None, p: LineParser) -> list[dict]:
+    """The valid records behind the anchors of a failed line, each up to the next anchor."""
+    cols = [c for c, _ in p.anchors]
+    found = [(c, parse_line(kind, n_ind, p.text[c:e])) for c, e in zip(cols, [*cols[1:], len(p.text)])]
+    return [{"col": c, **dict(zip(_NAMES[6:13], values[6:13]))} for c, values in found if values[0] == "valid"]
+
+
 def parse_line(kind: str | None, n_ind: int | None, line: str | None) -> tuple:
     """The values of `OUT` for one line."""
     if line is None:
-        return ("skipped", *[None] * 12)
+        return ("skipped", *[None] * 13)
     p = LineParser(line)
     fields = p.record()
     if fields is None:
-        return ("skipped", *[None] * 12)
+        return ("skipped", *[None] * 13)
     chrom = name = gpos = ppos = start = end = alleles = None
     width = 3 if kind == "centromere" else 4 + 2 * n_ind if kind == "tped" and n_ind is not None and n_ind >= 0 else None
     if width is None:
         p.fail("file is not described", 0, 0)
-    elif len(fields) != width:
-        p.fail(f"{len(fields)} fields instead of {width}", p.starts[min(width, len(fields) - 1)], min(width, len(fields)))
     else:
+        if p.anchors:
+            fields = fields[: p.anchors[0][1]]
+        n = len(fields)
+        if n != width:
+            p.fail(f"{n} fields instead of {width}", p.starts[min(width, n - 1)], min(width, n))
         if CHR.fullmatch(fields[0]):
             chrom = fields[0] if fields[0].startswith("chr") else "chr" + fields[0]
         else:
             p.fail("chr is unknown", p.starts[0], 0)
         if kind == "centromere":
-            start, end = _position(p, 1, "start"), _position(p, 2, "end")
+            start, end = (_position(p, i, what) if n > i else None for i, what in ((1, "start"), (2, "end")))
             if start is not None and end is not None and start >= end:
                 p.fail("start is not below end", p.starts[1], 1)
         else:
-            name = fields[1]
-            if not LOCUS.fullmatch(name):
+            name = fields[1] if n > 1 else None
+            if n > 1 and not LOCUS.fullmatch(name):
                 p.fail("locus name is malformed", p.starts[1], 1)
-            if NUMBER.fullmatch(fields[2]):
+            if n > 2 and NUMBER.fullmatch(fields[2]):
                 gpos = float(fields[2])
-            else:
+            elif n > 2:
                 p.fail("gpos is no number", p.starts[2], 2)
-            ppos = _position(p, 3, "ppos")
-            alleles = fields[4:]
+            ppos = _position(p, 3, "ppos") if n > 3 else None
+            alleles = fields[4:width]
             if not ALLELES.issuperset(alleles):
                 for i, a in enumerate(alleles, 4):
                     if a not in ALLELES:
                         p.fail("allele is none of A C G T 0", p.starts[i], i)
     if p.errors:
         r, f, c = p.errors[0]
-        return ("failed", r, f, c, len(p.errors), [{"reason": a, "field": b, "col": d} for a, b, d in p.errors], *[None] * 7)
-    return ("valid", None, None, None, 0, [], chrom, name, gpos, ppos, start, end, alleles)
+        return ("failed", r, f, c, len(p.errors), [{"reason": a, "field": b, "col": d} for a, b, d in p.errors], *[None] * 7, _behind_anchors(kind, n_ind, p))
+    return ("valid", None, None, None, 0, [], chrom, name, gpos, ppos, start, end, alleles, [])
 
 
 def parse_lines(lines: DataFrame, files: DataFrame, kind: str) -> DataFrame:
@@ -163,7 +176,7 @@ def parse_lines(lines: DataFrame, files: DataFrame, kind: str) -> DataFrame:
 
     `status` is `valid`, `failed` or `skipped` (blank lines, comments and null lines). Of a failed line
     `reason`, `error_field` and `error_col` locate the first error, `errors` all of them; its typed
-    values are null. `chr` comes out with the prefix `chr`. A line whose `file_id` is null or not in
+    values are null, and `recovered` has the valid records that stand behind its broken quotes, with their columns. `chr` comes out with the prefix `chr`. A line whose `file_id` is null or not in
     `files` as a file of `kind`, or whose file lacks `n_ind` (tped), fails as not described. Of several
     rows of `files` for one id, the one with the largest `n_ind` counts. Further columns of either
     table are ignored; repeated lines each give a row; an empty table gives none.
@@ -196,3 +209,9 @@ def valid_rows(parsed: DataFrame, kind: str) -> DataFrame:
 def failed_rows(parsed: DataFrame) -> DataFrame:
     """The failed lines with the first error and all errors."""
     return parsed.where(F.col("status") == "failed").select("file_id", "line_no", "raw_line", "reason", "error_field", "error_col", "errors")
+
+
+def recovered_rows(parsed: DataFrame, kind: str) -> DataFrame:
+    """The typed records behind broken quotes of failed lines, with the column where each starts."""
+    values = ["chr", "c_start", "c_end"] if kind == "centromere" else ["chr", "locus_name", "gpos", "ppos", "alleles"]
+    return parsed.where("status = 'failed'").select("file_id", "line_no", F.explode("recovered").alias("r")).select("file_id", "line_no", "r.col", *(f"r.{v}" for v in values))

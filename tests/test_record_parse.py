@@ -85,3 +85,11 @@ def test_round_trip_of_random_records():
         line = "".join((f'"{f}"' if r.random() < 0.2 else f) + r.choice([" ", "\t", " \t", "\r "]) for f in fields)
         got = rp.parse_line("tped", 2, line)
         assert got[0] == "valid" and got[7] == fields[1] and got[9] == int(fields[3]) and got[12] == fields[4:]
+
+
+def test_records_behind_an_anchor_come_out(spark):
+    line = 'chr1 "rs1 0.5 100 A C G T chr2 rs2 0.1 5 A A A A'
+    parsed = rp.parse_lines(spark.createDataFrame([(1, 1, line, "", "")], L), spark.createDataFrame(FILES, F), "tped")
+    assert [tuple(r) for r in rp.recovered_rows(parsed, "tped").collect()] == [(1, 1, line.index("chr2"), "chr2", "rs2", 0.1, 5, ["A"] * 4)]
+    assert rp.failed_rows(parsed).count() == 1 and rp.valid_rows(parsed, "tped").count() == 0
+    assert [e["reason"] for e in rp.parse_line("tped", 2, "chr99 rs1 0.5 0 A C G")[5]] == ["7 fields instead of 8", "chr is unknown", "ppos is no position"]
