@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rohspark.llm import digest, leaks, packing, quality, runs
 from rohspark.operators.em_impute import current_calls
-from rohspark.session import table
+from rohspark.session import materialise, table
 
 
 def _call_runs(spark: SparkSession, d: str, min_events: int) -> DataFrame:
@@ -41,6 +41,23 @@ def p6_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, d))
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest texts of every text whose id is divisible by 50, by the index that packing uses."""
+    return packing.neighbours(table(spark, d, "documents"))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per budget: texts that are placed, those whose pieces don't add up to the text, and containers that hold too much."""
+    documents = table(spark, d, "documents")
+    packed = materialise(packing.pack_texts(documents, table(spark, d, "pack_budgets")), "packed")
+    sizes = packing.sized_texts(documents).select("doc_id", F.col("n_tokens").alias("size"))
+    placed = packed.groupBy("budget_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("numbers"))
+    wrong = (F.col("tokens") != F.col("size")) | (F.col("pieces") != F.col("numbers")) | (F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))))
+    texts = placed.join(sizes, "doc_id", "full").groupBy("budget_id", "capacity").agg(F.count(F.lit(1)).alias("texts"), F.count(F.when(F.coalesce(wrong, F.lit(True)), 1)).alias("wrong"))
+    room = packed.groupBy("budget_id", "capacity", "container").agg(F.sum("n_tokens").alias("tokens")).groupBy("budget_id", "capacity").agg(F.count(F.when(F.col("tokens") > F.col("capacity"), 1)).alias("overfull"))
+    return texts.join(room, ["budget_id", "capacity"], "left")
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -99,5 +116,7 @@ s AS (
     len(list_filter(w, lambda x: list_contains(c.words, regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS common FROM t, c)
 SELECT doc_id FROM s WHERE n < 12 OR chars / n < 2.5 OR chars / n > 15 OR symbols / chars > 0.4e0 OR ended::DOUBLE / n_lines < 0.03e0 OR common::DOUBLE / n < 0.08e0 OR common::DOUBLE / n > 0.7e0"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p6_packed, p6_fill_report, p7_found, p7_leaks, p8_found, p8_quality)}
-SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p8_found": P8_FOUND}
+P6_COVERAGE = "SELECT budget_id, capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS wrong, 0::BIGINT AS overfull FROM pack_budgets"
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p6_packed, p6_fill_report, p6_neighbours, p6_coverage, p7_found, p7_leaks, p8_found, p8_quality)}
+SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p6_coverage": P6_COVERAGE, "p8_found": P8_FOUND}

@@ -151,3 +151,64 @@ def test_every_text_is_a_candidate_of_every_seed(spark):
                 by.setdefault(r["container"], set()).add(r["doc_id"])
         got = {frozenset(c) for c in by.values()}
         assert len(got & want) >= 0.98 * len(want)  # sums in another order may break a tie
+
+
+def brute_force(rows):
+    """All BM25 scores of (query, text), and the token counts, by row."""
+    counts = [dict() for _ in rows]
+    for c, (_, t, *_) in zip(counts, rows):
+        for w in words(t or ""):
+            c[w] = c.get(w, 0) + 1
+    n, mean = len(rows), sum(sum(c.values()) for c in counts) / len(rows)
+    df = {}
+    for c in counts:
+        for w in c:
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+    s = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                size = 1.2 * (0.25 + 0.75 * sum(counts[j].values()) / mean)
+                s[i, j] = sum(idf[w] * counts[j][w] * 2.2 / (counts[j][w] + size) for w in counts[i] if w in counts[j])
+    return s
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_neighbours_are_those_of_a_brute_force_search(spark, block):
+    rows = docs(160, 9)
+    s = brute_force(rows)
+    got = {}
+    for r in packing.neighbours(spark.createDataFrame(rows, D).repartition(3), k=10, every=20, block_seeds=block).collect():
+        got.setdefault(r["doc_id"], {})[r["neighbour"]] = r["score"]
+    assert sorted(got) == [i for i in range(0, 160, 20) if s[i].any()]
+    for i, near in got.items():
+        want = np.sort(s[i])[::-1][:10]
+        assert len(near) == min(10, (s[i] > 0).sum()) and i not in near
+        assert np.allclose(sorted(near.values(), reverse=True), want[: len(near)], rtol=1e-4)
+        assert all(s[i, j] == pytest.approx(v, rel=1e-4) for j, v in near.items())
+
+
+def test_runs_tasks_and_blocks_keep_every_token(spark):
+    rows = docs(300, 3) + [(1000 + i, "kelin morul tisox", 0, 0) for i in range(150)] + [(5000, "anin " * 900, 0, 0), (5001, "", 0, 0)]
+    sizes = {d: len(encode(t)) for d, t, *_ in rows}
+    df = spark.createDataFrame(rows, D).repartition(4)
+    packed = packing.pack_texts(df, spark.createDataFrame([(1, 64, 0), (2, 300, 0)], B), every=7, block_seeds=5, run_texts=40, task_texts=120)
+    assert check(packed.collect(), sizes, [(1, 64), (2, 300)])
+    assert min(r["used"] for r in packing.fill_report(packed).collect()) > 0.8
+
+
+def test_texts_without_a_seed_are_packed_too(spark):
+    rows = [(7 * i + 1, t, 0, 0) for i, (_, t, *_) in enumerate(docs(40, 2)) if (7 * i + 1) % 50]
+    sizes = {d: len(encode(t)) for d, t, *_ in rows}
+    df = spark.createDataFrame([(None, "kelin morul", 0, 0), *rows], D)
+    got = packing.pack_texts(df, spark.createDataFrame([(1, 64, 0)], B), every=1000).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(sizes.values()) + len(encode("kelin morul"))
+    assert packing.neighbours(df, every=1000).count() == 0
+
+
+def test_text_ids(spark):
+    rows = [(f"d{i}", t) for i, t, *_ in docs(60, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert packing.neighbours(df, k=3, every=5).groupBy("doc_id").count().where("count > 3").count() == 0
+    assert packing.pack_texts(df, spark.createDataFrame([(1, 64, 0)], B)).select("doc_id").distinct().count() == 60
