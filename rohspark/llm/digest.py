@@ -1,8 +1,12 @@
 """Percentiles per group from merging centroid digests, with the rank error counted.
 
-A digest is a list of centroids (mean, weight) in order of value. Sorted values are clustered under
-the size function k(q) = delta / 2pi * asin(2q - 1): a cluster spans at most one unit of k, so it is small
-near either end and at most pi / delta of the weight in the middle. Merging is clustering again.
+A digest is a list of centroids (mean, weight) in order of value, and its depth: how many clusterings its
+values have gone through at most. Sorted values are clustered under the size function
+k(q) = delta / 2pi * asin(2q - 1): no cluster spans more than one unit of k, a cell, so it is small near either end and at most
+pi / delta of the weight in the middle. Merging is clustering again, of all digests laid together. What a
+cluster spans never grows by that: among more rows it covers a share so much smaller that it still fits one cell.
+
+A clustering therefore moves the rank of a value by one cell at most, which bounds the error by the depth (`rank_bound`).
 
 Every input partition makes digests of its own rows, so a group that holds most rows shuffles a few
 hundred centroids per partition, not its rows. A second pass counts, for each reported percentile,
@@ -16,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rohspark.session import broadcast_if_small, materialise
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-DELTA = 200.0
+DELTA = 1500.0
 _FLUSH = 400_000  # values or centroids held by a task at a time
 
 
@@ -38,24 +43,25 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: floa
     upto = np.cumsum(weight)
     before = np.repeat(upto[starts] - weight[starts], sizes)
     total = np.repeat(np.add.reduceat(weight, starts), sizes)
-    q = np.clip((upto - before - weight / 2) / total, 0.0, 1.0)
-    k = np.floor(delta / (2 * math.pi) * (np.arcsin(2 * q - 1) + math.pi / 2))
-    edges = np.flatnonzero(head | np.concatenate([[True], k[1:] != k[:-1]]))
+    right = np.clip((upto - before) / total, 0.0, 1.0)
+    left = np.clip((upto - before - weight) / total, 0.0, 1.0)
+    cell, last = (np.floor(delta / (2 * math.pi) * (np.arcsin(2 * q - 1) + math.pi / 2)) for q in (left, np.nextafter(right, 0)))
+    alone = last > cell  # reaches over a cell's end, so it stays a cluster by itself
+    edges = np.flatnonzero(head | np.concatenate([[True], (cell[1:] != cell[:-1]) | alone[1:] | alone[:-1]]))
     w = np.add.reduceat(weight, edges)
     lowest, highest = mean[edges], np.maximum.reduceat(mean, edges)
     centre = np.clip(np.add.reduceat(mean * weight, edges) / w, lowest, highest)  # equal values stay exact
     return group[edges], centre, w
 
 
-def rank_bound(q: float, delta: float = DELTA, merges: int = 3) -> float:
-    """Stated bound of the error in rank at `q`, as a share of the rows.
+def rank_bound(q: float, delta: float = DELTA, depth: int = 3) -> float:
+    """Bound of the error in rank at `q`, as a share of the rows, for a digest of this depth.
 
-    A cluster around q holds at most about 2 pi sqrt(q (1 - q)) / delta of the weight (pi^2 / delta^2
-    at the ends). Interpolation errs by at most one cluster, and each of `merges` clusterings moves
-    a value by at most one more.
+    Each clustering moves a rank by at most one cell and the interpolation by one more. The cells met lie within
+    depth + 1 units of k around q; the widest of these counts.
     """
-    widest = max(2 * math.pi * math.sqrt(q * (1 - q)) / delta, (math.pi / delta) ** 2)
-    return (merges + 1) * widest
+    theta = max(abs(math.asin(2 * q - 1)) - 2 * math.pi * (depth + 1) / delta, 0.0)
+    return (depth + 1) * math.pi / delta * math.cos(theta)
 
 
 def _quantiles(mean: np.ndarray, weight: np.ndarray, low: float, high: float, qs: tuple[float, ...]) -> list[float]:
@@ -66,8 +72,8 @@ def _quantiles(mean: np.ndarray, weight: np.ndarray, low: float, high: float, qs
     return [float(v) for v in x]
 
 
-_DIGEST = "n bigint, low double, high double, means array<double>, weights array<double>"
-_COLUMNS = ["n", "low", "high", "means", "weights"]
+_DIGEST = "n bigint, low double, high double, means array<double>, weights array<double>, depth int"
+_COLUMNS = ["n", "low", "high", "means", "weights", "depth"]
 
 
 class _Buffer:
@@ -81,7 +87,8 @@ class _Buffer:
         self.index: dict[tuple, int] = {}
         self.ends: list[list[float]] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.clustered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # clustered once here, and left alone until the end
+        self.held = self.kept = self.depth = self.deeper = 0
 
     def codes(self, batch: pa.RecordBatch) -> np.ndarray:
         """The group number of each row."""
@@ -107,21 +114,32 @@ class _Buffer:
         self.held += len(mean)
 
     def compress(self) -> None:
-        if len(self.parts) > 1 or self.held > 0:
-            group, mean, weight = (np.concatenate(x) for x in zip(*self.parts))
-            self.parts = [cluster(group, mean, weight, self.delta)]
-            self.held = len(self.parts[0][0])
+        """Clusters what came in since the last time; what that gives isn't clustered again before the end."""
+        if self.held:
+            got = cluster(*(np.concatenate(x) for x in zip(*self.parts)), self.delta)
+            self.clustered.append(got)
+            self.kept += len(got[0])
+            self.parts, self.held = [], 0
+            if self.kept > _FLUSH and len(self.clustered) > 1:
+                self._all()
+
+    def _all(self) -> None:
+        self.clustered = [cluster(*(np.concatenate(x) for x in zip(*self.clustered)), self.delta)]
+        self.kept, self.deeper = len(self.clustered[0][0]), self.deeper + 1
 
     def flush(self, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         if not self.index:
             return
         self.compress()
-        group, mean, weight = self.parts[0]
+        if len(self.clustered) > 1:
+            self._all()
+        group, mean, weight = self.clustered[0]
         starts = np.searchsorted(group, np.arange(len(self.index) + 1)).astype(np.int32)
         n = np.add.reduceat(weight, starts[:-1])
         columns = [pa.array([k[i] for k in self.index], type=t) for i, t in enumerate(types)]
         columns += [pa.array(np.rint(n).astype(np.int64)), pa.array([e[0] for e in self.ends]), pa.array([e[1] for e in self.ends])]
         columns += [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in (mean, weight)]
+        columns.append(pa.array(np.full(len(self.index), self.depth + 1 + self.deeper, dtype=np.int32)))
         yield pa.RecordBatch.from_arrays(columns, names=[*self.keys, *_COLUMNS])
         self.clear()
 
@@ -142,9 +160,7 @@ def local_digests(values: DataFrame, keys: list[str], value: str, delta: float =
             group = buffer.codes(batch)
             buffer.add(group, v, np.ones(len(v)), v, v, group)
             if buffer.held > _FLUSH:
-                buffer.compress()
-                if buffer.held > _FLUSH // 2:  # many groups rather than large ones
-                    yield from buffer.flush(types)
+                yield from buffer.flush(types)  # a digest of its own: rows are clustered once
         yield from buffer.flush(types)
 
     return rows.mapInArrow(make, f"{_typed(rows, keys)}, {_DIGEST}")
@@ -168,13 +184,14 @@ def merge_digests(digests: DataFrame, keys: list[str], delta: float = DELTA) ->
             for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 if buffer.held > _FLUSH:
                     buffer.compress()
-                    if buffer.held > _FLUSH // 2 and last != _first(batch, keys):
-                        yield from buffer.flush(types)
+                if buffer.held + buffer.kept > _FLUSH // 2 and last != _first(batch, keys):
+                    yield from buffer.flush(types)
                 owner = buffer.codes(batch)
                 sizes = np.diff(batch.column("means").offsets.to_numpy())
                 mean, weight = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("means", "weights"))
                 low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
                 buffer.add(np.repeat(owner, sizes), mean, weight, low, high, owner)
+                buffer.depth = max(buffer.depth, pc.max(batch.column("depth")).as_py())
                 last = _first(batch.slice(batch.num_rows - 1), keys)
         yield from buffer.flush(types)
 
@@ -186,16 +203,16 @@ def _first(batch: pa.RecordBatch, keys: list[str]) -> tuple:
 
 
 def digest_quantiles(digests: DataFrame, keys: list[str], qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(keys, n, xs): the values at `qs` of each digest."""
+    """(keys, n, depth, xs): the values at `qs` of each digest."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             means, weights = batch.column("means").to_numpy(zero_copy_only=False), batch.column("weights").to_numpy(zero_copy_only=False)
             low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
             xs = [_quantiles(m, w, a, b, qs) for m, w, a, b in zip(means, weights, low, high)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), batch.column("n"), pa.array(xs, type=pa.list_(pa.float64()))], names=[*keys, "n", "xs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), batch.column("n"), batch.column("depth"), pa.array(xs, type=pa.list_(pa.float64()))], names=[*keys, "n", "depth", "xs"])
 
-    return digests.mapInArrow(look, f"{_typed(digests, keys)}, n bigint, xs array<double>")
+    return digests.mapInArrow(look, f"{_typed(digests, keys)}, n bigint, depth int, xs array<double>")
 
 
 def _match(a: list[str]) -> Column:
@@ -218,12 +235,17 @@ def certified_quantiles(values: DataFrame, digests: DataFrame, keys: list[str],
     """(keys, n, q, estimate, rank_error, bound, certified) per group and percentile.
 
     `rank_error` is counted: the distance, as a share of n, of q * n from the range of ranks that the
-    estimate takes among the group's rows. `bound` is what the digest promises, one row's share included,
+    estimate takes among the group's rows. `bound` is what the digest promises by its depth, one row's share included,
     and `certified` tells that the count keeps it.
     """
     estimates = materialise(digest_quantiles(digests, keys, qs), "estimates")
     counts = _counted(values, estimates, keys, value, qs).alias("v")
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(rank_bound(q, delta)).alias("b"), F.col("e.xs")[i].alias("x"), F.col(f"v.lt{i}").alias("lt"), F.col(f"v.le{i}").alias("le")) for i, q in enumerate(qs))))
+
+    def promise(q: float) -> Column:
+        turn = F.lit(2 * math.pi / delta) * (F.col("e.depth") + 1)
+        return turn / 2 * F.cos(F.greatest(F.lit(abs(math.asin(2 * q - 1))) - turn, F.lit(0.0)))
+
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), promise(q).alias("b"), F.col("e.xs")[i].alias("x"), F.col(f"v.lt{i}").alias("lt"), F.col(f"v.le{i}").alias("le")) for i, q in enumerate(qs))))
     rows = counts.join(estimates.alias("e"), _match(keys)).select(*(F.col(f"e.{c}").alias(c) for c in keys), F.col("e.n").alias("n"), each.alias("r"))
     want = F.col("r.q") * F.col("n")
     error = F.greatest(F.lit(0.0), F.col("r.lt") - want, want - F.col("r.le")) / F.col("n")

@@ -33,6 +33,11 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("level", "pop", "called_on").agg(F.max("n").alias("n"), F.every("certified").alias("certified"))
 
 
+def p5_small_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of groups of up to 400 rows, which the digests hold value by value, so that SQL gives the same."""
+    return p5_percentiles(spark, d).where("n <= 400").select("level", "pop", "called_on", "n", "q", F.round("estimate", 4).alias("estimate"))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
 
@@ -105,6 +110,16 @@ fine AS (SELECT upper(trim(r.pop, ' ' || chr(9))) AS pop, r.day AS called_on FRO
 SELECT 'pop_day' AS level, pop, called_on, count(*) AS n, true AS certified FROM fine GROUP BY pop, called_on
 UNION ALL SELECT 'pop', pop, NULL, count(*), true FROM fine GROUP BY pop"""
 
+P5_SMALL = r"""
+WITH last AS (SELECT roh_id, max({'t': loaded_at, 'v': roh_length, 'pop': pop, 'day': called_on}) AS r FROM roh WHERE roh_id IS NOT NULL GROUP BY roh_id),
+fine AS (SELECT upper(trim(r.pop, ' ' || chr(9))) AS pop, r.day AS called_on, r.v AS v FROM last WHERE r.v > 0 AND NOT isnan(r.v) AND NOT isinf(r.v)),
+groups AS (
+  SELECT 'pop_day' AS level, pop, called_on, count(*) AS n, list(v ORDER BY v) AS vs FROM fine GROUP BY pop, called_on
+  UNION ALL SELECT 'pop', pop, NULL, count(*), list(v ORDER BY v) FROM fine GROUP BY pop),
+asked AS (SELECT *, unnest([0.01e0, 0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0, 0.99e0]) AS q FROM groups WHERE n <= 400),
+placed AS (SELECT *, greatest(1, floor(q * n + 0.5e0))::BIGINT AS j, greatest(0.5e0, q * n) AS t FROM asked)
+SELECT level, pop, called_on, n, q, round(CASE WHEN j >= n THEN vs[n] ELSE vs[j] + (vs[j + 1] - vs[j]) * (t - (j - 0.5e0)) END, 4) AS estimate FROM placed"""
+
 _WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
 P8_FOUND = rf"""
 WITH t AS (
@@ -118,5 +133,5 @@ SELECT doc_id FROM s WHERE n < 12 OR chars / n < 2.5 OR chars / n > 15 OR symbol
 
 P6_COVERAGE = "SELECT budget_id, capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS wrong, 0::BIGINT AS overfull FROM pack_budgets"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p6_packed, p6_fill_report, p6_neighbours, p6_coverage, p7_found, p7_leaks, p8_found, p8_quality)}
-SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p6_coverage": P6_COVERAGE, "p8_found": P8_FOUND}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p5_small_groups, p6_packed, p6_fill_report, p6_neighbours, p6_coverage, p7_found, p7_leaks, p8_found, p8_quality)}
+SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p5_small_groups": P5_SMALL, "p6_coverage": P6_COVERAGE, "p8_found": P8_FOUND}

@@ -52,7 +52,7 @@ def test_certified_against_sorted_values(spark):
         lo, hi = np.searchsorted(v, r["estimate"], "left"), np.searchsorted(v, r["estimate"], "right")
         error = max(0.0, lo - r["q"] * len(v), r["q"] * len(v) - hi) / len(v)
         assert abs(error - r["rank_error"]) < 1e-12 and r["certified"] and error <= r["bound"]
-        assert r["bound"] < 0.07 + 1 / len(v)
+        assert r["bound"] < min(0.01, 0.3 * min(r["q"], 1 - r["q"])) + 1 / len(v)
 
 
 def test_heavy_group_is_small_and_merging_keeps_weights(spark):
@@ -94,4 +94,42 @@ def test_clusters():
     g, m, w = digest.cluster(np.zeros(1000, dtype=int), np.arange(1000.0), np.ones(1000), 50.0)
     assert w.sum() == 1000 and w[0] <= 4 and w.max() <= 1000 * math.pi / 50 + 2 and (np.diff(m) > 0).all()
     assert len(digest.cluster(np.zeros(0, dtype=int), np.zeros(0), np.zeros(0), 50.0)[0]) == 0
-    assert digest.rank_bound(0.5) == pytest.approx(4 * math.pi / 200, rel=1e-6)
+    assert digest.rank_bound(0.5) == pytest.approx(4 * math.pi / digest.DELTA, rel=1e-6) and digest.rank_bound(0.5) < 0.01
+    assert digest.rank_bound(0.01) < 0.002 and digest.rank_bound(0.01) == pytest.approx(digest.rank_bound(0.99))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 9])
+def test_bound_holds_for_any_number_of_clusterings(depth):
+    """Values dealt to many digests by size or at random, and clustered `depth` times, stay within the bound."""
+    r = np.random.default_rng(depth)
+    delta, values = 100.0, r.lognormal(size=20_000)
+    for deal in (np.sort(values), values):
+        parts = [(np.zeros(len(p), dtype=int), np.sort(p), np.ones(len(p))) for p in np.array_split(deal, 64)]
+        for level in range(depth):
+            parts = [digest.cluster(*p, delta) for p in parts]
+            if level + 1 < depth:
+                step = max(1, round(len(parts) ** (1 / (depth - level - 1))))
+                parts = [tuple(np.concatenate(x) for x in zip(*parts[i : i + step])) for i in range(0, len(parts), step)]
+        group, mean, weight = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(mean, kind="stable")
+        qs = (0.001, 0.01, 0.1, 0.5, 0.9, 0.999)
+        for q, x in zip(qs, digest._quantiles(mean[by], weight[by], values.min(), values.max(), qs)):
+            rank = [np.searchsorted(np.sort(values), x, side) for side in ("left", "right")]
+            assert max(rank[0] - q * 20_000, q * 20_000 - rank[1], 0) <= digest.rank_bound(q, delta, depth) * 20_000 + 1
+        cells = np.arcsin(np.clip(2 * np.cumsum(weight[by]) / 20_000 - 1, -1, 1)) * delta / (2 * math.pi)
+        if len(parts) == 1:
+            assert (np.diff(cells)[weight[by][1:] > 1] <= 1 + 1e-9).all()
+
+
+def test_depth_is_counted(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("'x' AS k", "CAST(id AS DOUBLE) AS v").coalesce(1)
+    local = digest.local_digests(df, ["k"], "v", 20.0)
+    assert [r["depth"] for r in local.collect()] == [1]
+    assert digest.merge_digests(local, ["k"], 20.0).first()["depth"] == 2
+    monkeypatch.setattr(digest, "_FLUSH", 15)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        many = digest.merge_digests(local.unionByName(local).unionByName(local), ["k"], 20.0).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert many["depth"] > 2 and many["n"] == 15_000
