@@ -61,7 +61,7 @@ def in_gap(a, b, start, stop) -> Column:
 def interpolate(x0, y0, x1, y1, x) -> Column:
     """Linear interpolation at `x`; y0 where both ends coincide."""
     x0, y0, x1, y1, x = map(_col, (x0, y0, x1, y1, x))
-    return F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / F.nullif(x1 - x0, F.lit(0).cast("double")))
+    return F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / F.nullif((x1 - x0).cast("double"), F.lit(0.0)))
 
 
 def chr_name(name) -> Column:
@@ -87,12 +87,32 @@ def overlap_threshold(overlap_frac: float, w: int) -> float:
     return min(max(overlap_frac * w, 1.0), float(w))
 
 
-def winsize_for_density(density: float) -> int:
+# The two lines through log density by which window size and overlap are chosen.
+_WINSIZE_LINE = (8.3235, 138.0521)
+_OVERLAP_LINE = (6.375, 63.888)
+
+
+def winsize_column(density) -> Column:
     """Window size of the weighted score for a density of variants, at least 10."""
-    return max(10, int(8.3235 * math.log(density) + 138.0521 + 0.5))
+    a, b = _WINSIZE_LINE
+    return F.greatest(F.lit(10), (a * F.ln(_col(density)) + b + 0.5).cast("int"))
 
 
-def overlap_frac_for_density(density: float, w: int) -> float:
+def overlap_frac_column(density, w: int) -> Column:
     """Overlap fraction for a density of variants."""
-    f = (6.375 * math.log(density) + 63.888) / 100
+    a, b = _OVERLAP_LINE
+    f = (a * F.ln(_col(density)) + b) / 100
+    return F.when(f > 1, F.lit(1.0)).when(f <= 0, F.lit(1.0 / w)).otherwise(f)
+
+
+def winsize_for_density(density: float) -> int:
+    """`winsize_column` of a number."""
+    a, b = _WINSIZE_LINE
+    return max(10, int(a * math.log(density) + b + 0.5))
+
+
+def overlap_frac_for_density(density: float, w: int) -> float:
+    """`overlap_frac_column` of a number."""
+    a, b = _OVERLAP_LINE
+    f = (a * math.log(density) + b) / 100
     return 1.0 if f > 1 else 1.0 / w if f <= 0 else f

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rohspark.session import broadcast_if_small
+from rohspark.session import broadcast_if_small, materialise
 
 TARGETS = 512
 EDGE = 3.0  # bandwidths by which the targets reach beyond the points
@@ -26,7 +26,7 @@ def bandwidth(points: DataFrame, value: str = "score", by: tuple[str, ...] = ("p
     counts = points.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     quarter = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("quarters")
     n, sx = F.sum("_n"), F.sum(F.col("_x") * F.col("_n"))
-    stats = counts.groupBy(*by).agg(n.alias("n"), (sx / n).alias("mean"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"), quarter)
+    stats = materialise(counts.groupBy(*by).agg(n.alias("n"), (sx / n).alias("mean"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"), quarter), "stats")
     spread = counts.join(broadcast_if_small(stats.select(*by, "mean")), list(by)).groupBy(*by).agg(F.sum(F.col("_n") * F.pow(F.col("_x") - F.col("mean"), F.lit(2.0))).alias("ss"))
     both = stats.join(spread, list(by))
     sd = F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0).cast("bigint")))
@@ -40,7 +40,7 @@ def kde(points: DataFrame, value: str = "score", by: tuple[str, ...] = ("panel_i
     The kernel is exp(-(d / h)^2). Target i lies (i + 1) / 512 of the way over the points' range, widened by
     three bandwidths either side. Groups with a bandwidth of 0 or without one are left out.
     """
-    bands = bandwidth(points, value, by) if bands is None else bands
+    bands = materialise(bandwidth(points, value, by) if bands is None else bands, "bands")
     b = bands.where(F.col("h") > 0).select(*by, "n", (F.col("lowest") - EDGE * F.col("h")).alias("lo"), (F.col("highest") + EDGE * F.col("h")).alias("hi"), "h")
     used = points.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("v")).join(broadcast_if_small(b), list(by))
     names = list(by)

@@ -1,46 +1,79 @@
 """Linkage disequilibrium of neighbouring sites, and scores weighted by it.
 
-Pairs of sites less than `w` apart are joined within an individual and reduced to one row per pair.
-Each pair is computed once and mirrored. The work is sites * (w - 1) * individuals, spread over
-(panel, chr, individual); partial counts are added up before the shuffle by pair.
+Calls are dealt to tiles of at most `TILE_SITES` sites (and the w - 1 behind them) and `TILE_PEOPLE` individuals. A
+tile is a small matrix, in which all pairs of sites less than `w` apart are counted by shifting it against itself. So each call
+is moved once; what leaves a tile is one row of counts per pair, and tiles of one pair are added up.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rohspark.functions import exprs
-from rohspark.operators.roh import ENTITY, _w
+from rohspark.operators.roh import _w
 
+TILE_SITES, TILE_PEOPLE = 1024, 1024
 
-def _pairs(calls: DataFrame, w: int) -> DataFrame:
-    """Each call with those of its individual at the next w - 1 sites: an array by a window, not a self-join."""
-    near = Window.partitionBy(*ENTITY).orderBy("idx").rowsBetween(1, w - 1)
-    ahead = F.collect_list(F.struct("idx", F.coalesce("g", F.lit(-1)).alias("g"), "first_copy")).over(near)
-    return calls.withColumn("_n", ahead).select("panel_id", "chr", "idx", "g", "first_copy", F.explode("_n").alias("b"))
+
+def _pair_counts(calls: DataFrame, w: int, phased: bool) -> DataFrame:
+    """(panel_id, chr, i, j, both, joint): per pair the individuals with both calls, and what they share.
+
+    Shared are two homozygotes (unphased, 1) or copies that carry the coded allele at both sites (phased, up to 2).
+    """
+    if w > TILE_SITES:
+        raise ValueError(f"pairs are at most {TILE_SITES} sites apart")
+    tile = F.floor(F.col("idx") / TILE_SITES).cast("int")
+    before = F.floor((F.col("idx") - (w - 1)) / TILE_SITES).cast("int")  # the tile whose last sites look ahead to this one
+    tiles = F.when((before < tile) & (before >= 0), F.array(tile, before)).otherwise(F.array(tile))
+    code = (F.when(F.col("g").isin(0, 1, 2), F.col("g")).otherwise(F.lit(-1))).cast("tinyint")
+    dealt = calls.select("panel_id", "chr", F.floor(F.col("ind_idx") / TILE_PEOPLE).cast("int").alias("block"), F.explode(tiles).alias("tile"), "idx", "ind_idx", code.alias("g"), F.coalesce(F.col("first_copy").cast("tinyint"), F.lit(-1).cast("tinyint")).alias("first"))
+
+    def count(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        panel, chrom, _, at = (k.as_py() for k in key)
+        idx, ind = (tab.column(c).to_numpy().astype(np.int64) for c in ("idx", "ind_idx"))
+        start = at * TILE_SITES
+        row = np.unique(ind, return_inverse=True)[1]
+        width = int(idx.max()) - start + 1
+        g, first = (np.full((int(row.max()) + 1, width), -1, dtype=np.int8) for _ in range(2))
+        g[row, idx - start] = tab.column("g").to_numpy()
+        first[row, idx - start] = tab.column("first").to_numpy()
+        here = np.zeros(width, dtype=bool)
+        here[idx - start] = True
+        known = g >= 0
+        found: list[tuple[np.ndarray, ...]] = []
+        for d in range(1, min(w, width)):
+            n = min(width - d, TILE_SITES)  # pairs belong to the tile of their first site
+            a, b = g[:, :n], g[:, d : d + n]
+            both = known[:, :n] & known[:, d : d + n]
+            if phased:
+                same = np.where((a == 2) & (b == 2), 2, 0) + ((a == 1) & (b == 2)) + ((a == 2) & (b == 1))
+                same += (a == 1) & (b == 1) & (first[:, :n] == first[:, d : d + n]) & (first[:, :n] >= 0)
+            else:
+                same = ((a != 1) & (b != 1)).astype(np.int64)
+            pair = np.flatnonzero(here[:n] & here[d : d + n])
+            found.append((start + pair, start + pair + d, both.sum(axis=0)[pair], np.where(both, same, 0).sum(axis=0)[pair]))
+        i, j, both, joint = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(4))
+        return pa.table({"panel_id": pa.array([panel] * len(i), type=tab.schema.field("panel_id").type), "chr": pa.array([chrom] * len(i), type=pa.string()), "i": pa.array(i, type=pa.int32()), "j": pa.array(j, type=pa.int32()), "both": pa.array(both, type=pa.int64()), "joint": pa.array(joint, type=pa.int64())})
+
+    panel_type = calls.schema["panel_id"].dataType.simpleString()
+    counts = dealt.groupBy("panel_id", "chr", "block", "tile").applyInArrow(count, f"panel_id {panel_type}, chr string, i int, j int, both bigint, joint bigint")
+    return counts.groupBy("panel_id", "chr", "i", "j").agg(F.sum("both").alias("both"), F.sum("joint").alias("joint"))
 
 
 def pair_ld(calls: DataFrame, sites: DataFrame, w: int, phased: bool = False) -> DataFrame:
     """(panel_id, chr, i, j, ld) for sites i < j of less than `w` apart.
 
-    `calls` has idx, g and first_copy of every individual to count; `sites` has idx, freq and hom_freq
+    `calls` has idx, g and first_copy of every individual to count, one row per individual and site; `sites` has idx, freq and hom_freq
     from all individuals. Unphased: the squared correlation of being homozygous; null where no
     individual has both calls. Phased: the squared correlation of the coded allele. At most 1, and 0
     where a frequency is 0 or 1.
     """
-    p = _pairs(calls.select(*ENTITY, "idx", "g", "first_copy"), w)
-    both = F.col("g").isNotNull() & (F.col("b.g") >= 0)
-    if phased:
-        a, b = F.col("g"), F.col("b.g")
-        same = F.when((a == 2) & (b == 2), 2).when(((a == 1) & (b == 2)) | ((a == 2) & (b == 1)), 1).when((a == 1) & (b == 1) & (F.col("first_copy") == F.col("b.first_copy")), 1).otherwise(0)
-        joint = F.sum(F.when(both, same)) / F.nullif(2 * F.count(F.when(both, 1)), F.lit(0).cast("bigint"))
-        freq = "freq"
-    else:
-        joint = F.count(F.when(both & (F.col("g") != 1) & (F.col("b.g") != 1), 1)) / F.nullif(F.count(F.when(both, 1)), F.lit(0).cast("bigint"))
-        freq = "hom_freq"
-    counts = p.groupBy("panel_id", "chr", F.col("idx").alias("i"), F.col("b.idx").alias("j")).agg(joint.alias("x"))
-    s = sites.select("panel_id", "chr", F.col("idx"), F.col(freq).alias("f"))
+    counts = _pair_counts(calls.select("panel_id", "chr", "ind_idx", "idx", "g", "first_copy"), w, phased)
+    counts = counts.select("panel_id", "chr", "i", "j", (F.col("joint") / F.nullif((2 if phased else 1) * F.col("both"), F.lit(0).cast("bigint"))).alias("x"))
+    s = sites.select("panel_id", "chr", F.col("idx"), F.col("freq" if phased else "hom_freq").alias("f"))
     joined = counts.join(s.select("panel_id", "chr", F.col("idx").alias("i"), F.col("f").alias("fi")), ["panel_id", "chr", "i"]).join(s.select("panel_id", "chr", F.col("idx").alias("j"), F.col("f").alias("fj")), ["panel_id", "chr", "j"])
     fi, fj = F.col("fi"), F.col("fj")
     r = F.pow(F.col("x") - fi * fj, F.lit(2.0)) / F.nullif(fi * (1 - fi) * fj * (1 - fj), F.lit(0.0))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rohspark.functions import exprs
 from rohspark.session import broadcast_if_small
 
 SITE = ["panel_id", "chr", "locus_idx"]
@@ -131,7 +132,7 @@ def interpolate_map(sites: DataFrame, genmap: DataFrame) -> DataFrame:
     behind = F.first("_m", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     placed = both.withColumns({"_a": before, "_b": behind}).where(F.col("_s").isNotNull())
     exact = F.col("_a.x") == F.col("ppos")
-    between = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col("ppos") - F.col("_a.x")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0).cast("bigint"))
+    between = exprs.interpolate("_a.x", "_a.y", "_b.x", "_b.y", "ppos")
     return placed.select("panel_id", "chr", "ppos", "_s.*", F.when(exact, F.col("_a.y")).otherwise(between).alias("gpos"), (~F.coalesce(exact, F.lit(False)) & between.isNotNull()).alias("interpolated"))
 
 

@@ -341,14 +341,12 @@ def variant_density(spark, d):
 
 @_query(f"SELECT panel_id, greatest(10, trunc(8.3235e0 * ln(density) + 138.0521e0 + 0.5e0))::INT AS w FROM ({_DENSITY})", "numbered cen")
 def auto_winsize_weighted(spark, d):
-    size = (8.3235 * F.ln("density") + 138.0521 + 0.5).cast("int")
-    return _density(spark, d).select("panel_id", F.greatest(F.lit(10), size).alias("w"))
+    return _density(spark, d).select("panel_id", exprs.winsize_column("density").alias("w"))
 
 
 @_query(f"SELECT panel_id, round(CASE WHEN f > 1 THEN 1e0 WHEN f <= 0 THEN 1e0 / {P.w} ELSE f END, 6) AS overlap_frac FROM (SELECT panel_id, (6.375e0 * ln(density) + 63.888e0) / 100 AS f FROM ({_DENSITY}))", "numbered cen")
 def auto_overlap_frac(spark, d):
-    f = (6.375 * F.ln("density") + 63.888) / 100
-    return _density(spark, d).select("panel_id", _r(F.when(f > 1, F.lit(1.0)).when(f <= 0, F.lit(1.0 / P.w)).otherwise(f)).alias("overlap_frac"))
+    return _density(spark, d).select("panel_id", _r(exprs.overlap_frac_column("density", P.w)).alias("overlap_frac"))
 
 
 @_query("SELECT panel_id, chr, ind_idx, idx::INT AS idx, round(lod, 6) AS lod FROM scored", "scored")
@@ -527,7 +525,7 @@ _kde_ctes("somethin", "_some")
 
 @_query("SELECT panel_id, i::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM kde_some", "kde_some")
 def kde_subsample(spark, d):
-    chosen = roh.subsample_individuals(calls_of(spark, d).select("panel_id", "ind_idx").distinct(), P.kde_individuals, P.seed)
+    chosen = materialise(roh.subsample_individuals(calls_of(spark, d).select("panel_id", "ind_idx").distinct(), P.kde_individuals, P.seed), "people")
     points = windows_of(spark, d).join(broadcast_if_small(chosen), ["panel_id", "ind_idx"], "left_semi")
     return density.kde(materialise(roh.thin(points, P.w).select("panel_id", "score"), "points")).select("panel_id", "i", _r("x").alias("x"), _r("y").alias("y"))
 
