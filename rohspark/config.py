@@ -71,7 +71,6 @@ class RohConfig:
         need(bool(self.tgls) or 0 < self.error < 1, "error must lie between 0 and 1")
         need(not self.tgls or self.gl_type in ("GQ", "GL", "PL"), "gl_type must be GQ, GL or PL")
         need(self.winsize > 1 or bool(self.winsize_multi) or (self.auto_winsize and self.weighted), "winsize must be above 1")
-        need(not (self.winsize_multi and self.auto_winsize and self.weighted), "the search over a list of window sizes isn't defined for weighted scores")
         need(self.max_gap >= 0, "max_gap must not be negative")
         need(0 <= self.overlap_frac <= 1, "overlap_frac must lie between 0 and 1")
         if 0 <= self.max_gap < 1000:

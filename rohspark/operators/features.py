@@ -18,6 +18,25 @@ def homozygous_features(calls: DataFrame, sites: DataFrame, features: DataFrame)
     return hom.join(features, ["panel_id", "chr", "ppos", "allele"]).select("panel_id", "chr", "ind_idx", "ppos", "effect")
 
 
+def homozygotes_of_records(records: DataFrame, features: DataFrame, missing: str = "0") -> DataFrame:
+    """(chr, ind_idx, ppos, effect) straight from site records (chr, ppos, alleles), two alleles per individual.
+
+    Both alleles must be a feature's (features are keyed by chr, ppos and allele). Where the records tell `ref`, as those of a
+    VCF do, a feature of REF goes before one of ALT: only the first of the two is looked for.
+    """
+    r = records.join(features.select("chr", "ppos").distinct(), ["chr", "ppos"], "left_semi")
+    if "ref" in records.columns:
+        of_ref = features.select("chr", "ppos", F.col("allele").alias("ref"), F.lit(True).alias("_ref")).distinct()
+        r = r.join(of_ref, ["chr", "ppos", "ref"], "left").withColumn("_only", F.when(F.col("_ref"), F.col("ref")))
+    else:
+        r = r.withColumn("_only", F.lit(None).cast("string"))
+    halves = F.sequence(F.lit(0), F.floor(F.size("alleles") / 2).cast("int") - 1)
+    pairs = F.transform(halves, lambda i: F.struct(F.get("alleles", (2 * i).cast("int")).alias("a"), F.get("alleles", (2 * i + 1).cast("int")).alias("b")))
+    each = r.where(F.size("alleles") >= 2).select("chr", "ppos", "_only", F.posexplode(pairs).alias("ind_idx", "p"))
+    hom = each.where((F.col("p.a") == F.col("p.b")) & (F.col("p.a") != missing) & (F.col("_only").isNull() | (F.col("_only") == F.col("p.a"))))
+    return hom.select("chr", "ind_idx", "ppos", F.col("p.a").alias("allele")).join(features, ["chr", "ppos", "allele"]).select("chr", "ind_idx", "ppos", "effect")
+
+
 def inside_segments(points: DataFrame, segments: DataFrame, bin_size: int = 1_000_000) -> DataFrame:
     """`points` with the `size_class` of the segment of the individual that holds them, `NONE` where there is none.
 

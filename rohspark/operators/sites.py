@@ -136,12 +136,15 @@ def interpolate_map(sites: DataFrame, genmap: DataFrame) -> DataFrame:
     return placed.select("panel_id", "chr", "ppos", "_s.*", F.when(exact, F.col("_a.y")).otherwise(between).alias("gpos"), (~F.coalesce(exact, F.lit(False)) & between.isNotNull()).alias("interpolated"))
 
 
-def flip_freqs(sites: DataFrame, freq_file: DataFrame) -> DataFrame:
+def flip_freqs(sites: DataFrame, freq_file: DataFrame, on: tuple[str, ...] = ("panel_id", "chr", "locus_name"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Frequencies of a file for `sites` (locus_name, allele): 1 - freq where the file counts the other allele.
 
-    Raises if a site isn't in the file.
+    `on` names a site in both tables; `keep` are further columns of `sites` to give. Raises if a site isn't in the file, or is there
+    more than once.
     """
-    own = sites.select("panel_id", "chr", "locus_name", F.col("allele").alias("_a"))
-    joined = own.join(freq_file.select("panel_id", "chr", "locus_name", F.col("allele").alias("_f"), "freq"), ["panel_id", "chr", "locus_name"], "left")
+    own = sites.select(*on, *keep, F.col("allele").alias("_a"))
+    counted = freq_file.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.col("allele").alias("a"), F.col("freq").alias("f"))).alias("_v"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.lit("a site is in the frequency file more than once"))).otherwise(F.col("_v.f"))
+    joined = own.join(counted.select(*on, F.col("_v.a").alias("_f"), once.alias("freq")), list(on), "left")
     freq = F.when(F.col("freq").isNull(), F.raise_error(F.lit("a site is not in the frequency file"))).when(F.col("_a") == F.col("_f"), F.col("freq")).otherwise(1 - F.col("freq"))
-    return joined.select("panel_id", "chr", "locus_name", F.col("_a").alias("allele"), freq.alias("freq"))
+    return joined.select(*on, *keep, F.col("_a").alias("allele"), freq.alias("freq"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rohspark.config import RohConfig
 from rohspark.functions import exprs
-from rohspark.operators import density, linkage, mixture, roh, sites
+from rohspark.operators import density, features, linkage, mixture, roh, sites
 from rohspark.session import broadcast_if_small, materialise
 from rohspark.sources import readers, sinks
 
@@ -32,6 +32,7 @@ class Inputs:
     individuals: DataFrame
     centromeres: DataFrame
     genmap: DataFrame | None = None
+    chr_order: DataFrame | None = None
 
 
 @dataclass
@@ -55,9 +56,11 @@ def frequencies(spark: SparkSession, cfg: RohConfig) -> DataFrame:
 
 def load(spark: SparkSession, cfg: RohConfig) -> Inputs:
     """The tables of the run's files."""
-    coded = frequencies(spark, cfg)
-    w = Window.partitionBy("chr").orderBy("ppos", "file", "line_no")
-    records = materialise(coded.withColumns({"panel_id": F.lit(0), "locus_idx": F.row_number().over(w) - 1}), "records")
+    coded = materialise(frequencies(spark, cfg).withColumn("panel_id", F.lit(0)), "records")
+    w = Window.partitionBy("chr").orderBy("ppos", "file", "line_no")  # sorts the places of the sites, not their alleles
+    places = materialise(coded.select("file", "line_no", "chr", "ppos").withColumn("locus_idx", F.row_number().over(w) - 1).select("file", "line_no", "locus_idx"), "places")
+    records = coded.join(places, ["file", "line_no"])
+    chr_order = materialise(coded.groupBy("chr").agg(F.min(F.struct("file", "line_no")).alias("at")).select("chr", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place")), "chrs")  # one row per chr
     if cfg.vcf:
         names = readers.read_vcf_samples(spark, cfg.vcf)
         individuals = spark.createDataFrame([(i, "0", n) for i, n in enumerate(names)], "ind_idx int, pop string, ind_id string")
@@ -65,7 +68,7 @@ def load(spark: SparkSession, cfg: RohConfig) -> Inputs:
         individuals = readers.read_tfam(spark, cfg.tfam)
     individuals = individuals.withColumn("panel_id", F.lit(0))
     n = individuals.count()
-    if records.where(F.size("alleles") != 2 * n).limit(1).count():
+    if coded.where(F.size("alleles") != 2 * n).limit(1).count():
         raise ValueError(f"a line holds the genotypes of another number of individuals than the {n} that are listed")
     calls = sites.code_genotypes(records.select("panel_id", "chr", "locus_idx", "ppos", "alleles"), cfg.tped_missing).withColumnRenamed("ind", "ind_idx").drop("allele", "freq")
     if cfg.tgls:
@@ -78,14 +81,17 @@ def load(spark: SparkSession, cfg: RohConfig) -> Inputs:
     calls = materialise(calls, "calls")
     freqs = records.select(*sites.SITE, "ppos", "locus_name", "allele", "freq")
     if cfg.freq_file:
-        flipped = sites.flip_freqs(freqs, readers.read_freq(spark, cfg.freq_file).withColumn("panel_id", F.lit(0)))
-        freqs = freqs.drop("freq").join(flipped.select("panel_id", "chr", "locus_name", "freq"), ["panel_id", "chr", "locus_name"])
+        site = ["panel_id", "chr", "locus_name", "ppos"]  # names such as a dot may repeat, and two sites may share a position
+        file = readers.read_freq(spark, cfg.freq_file, numbered=True).withColumn("panel_id", F.lit(0))
+        file = file.withColumn("nth", F.row_number().over(Window.partitionBy(*site).orderBy("file", "line_no")))
+        own = freqs.withColumn("nth", F.row_number().over(Window.partitionBy(*site).orderBy("locus_idx")))
+        freqs = sites.flip_freqs(own, file, on=(*site, "nth"), keep=("locus_idx",)).drop("nth")
     else:
         sinks.write_freq(freqs, cfg.out)
     hom = sites.call_freqs(calls).select(*sites.SITE, "hom_freq")
     centro = readers.centromeres(spark, cfg.build, cfg.centromere)
     genmap = readers.read_genmap(spark, cfg.map).withColumn("panel_id", F.lit(0)) if cfg.map else None
-    return Inputs(calls, materialise(freqs.join(hom, sites.SITE), "freqs"), individuals, centro, genmap)
+    return Inputs(calls, materialise(freqs.join(hom, sites.SITE), "freqs"), individuals, centro, genmap, chr_order)
 
 
 def prepared_sites(cfg: RohConfig, inputs: Inputs) -> DataFrame:
@@ -144,7 +150,7 @@ def run(spark: SparkSession, cfg: RohConfig) -> Result:
         return materialise(density.kde(found, by=("panel_id", "w")), "densities")
 
     d: DataFrame | None = None
-    if cfg.winsize_multi and cfg.auto_winsize:
+    if cfg.winsize_multi and cfg.auto_winsize and not cfg.weighted:
         densities = explored()
         w = density.first_smooth(density.wiggle(densities, ("panel_id", "w")), cfg.winsize_multi).first()["w"]
         d = densities.where(F.col("w") == w).drop("w")
@@ -171,6 +177,32 @@ def run(spark: SparkSession, cfg: RohConfig) -> Result:
         cutoff = density.cutoff_of(grid["x"].to_numpy(np.float64), grid["y"].to_numpy(np.float64), w)
     segments = materialise(roh.assemble(windows, cutoff, w, frac, cfg.cm), "segments")
     bounds = cfg.size_bounds or mixture.size_bounds(mixture.fit_gmm(segments, cfg.nclust))
-    sinks.write_bed(segments, inputs.individuals, bounds, cfg.out, cfg.cm)
+    sinks.write_bed(segments, inputs.individuals, bounds, cfg.out, cfg.cm, inputs.chr_order)
     log.info("window size %d, cutoff %g, bounds %s, density %g", w, cutoff, bounds, dens if dens is not None else math.nan)
+    n_sites, n_interpolated = s.agg(F.count(F.lit(1)), F.count(F.when(F.col("interpolated"), 1)) if "interpolated" in s.columns else F.lit(0)).first()
+    facts = {"loci": inputs.freqs.count(), "loci_used": n_sites, "loci_interpolated": n_interpolated, "individuals": inputs.individuals.count(), "winsize_used": w, "overlap_used": frac, "cutoff_used": cutoff, "bounds_used": bounds, "segments": segments.count()}
+    sinks.write_lines(spark, [f"{k} = {v}" for k, v in [*vars(cfg).items(), *facts.items()]], f"{cfg.out}.log")
     return Result(segments.withColumn("size_class", exprs.size_class("length", bounds)), windows, d, w, cutoff, bounds, frac)
+
+
+def count_features(spark: SparkSession, feature_file: str, roh: str, out: str, vcf: str | None = None, tped: str | None = None, tfam: str | None = None, missing: str = "0") -> DataFrame:
+    """Annotated homozygotes per individual, size class and effect, from files to `out`; gives the table written.
+
+    `roh` is a bed of segments. Individuals without segments or features have a line of zeros. Needs `vcf`, or `tped` and `tfam`.
+    """
+    if not vcf and not (tped and tfam):
+        raise ValueError("vcf is needed, or tped and tfam")
+    feats = materialise(readers.read_features(spark, feature_file), "features")
+    if vcf:
+        records = readers.read_vcf(spark, vcf)
+        people = spark.createDataFrame(list(enumerate(readers.read_vcf_samples(spark, vcf))), "ind_idx int, ind_id string")
+    else:
+        records, people = readers.read_tped(spark, tped), readers.read_tfam(spark, tfam).select("ind_idx", "ind_id")
+    zero = F.lit(0).alias("panel_id")
+    points = features.homozygotes_of_records(records, feats.drop("ref"), missing).select(zero, "*")
+    segments = readers.read_bed(spark, roh).join(people, "ind_id").select(zero, "chr", "ind_idx", "start", "stop", "size_class")
+    counts = features.feature_counts(features.inside_segments(points, segments))
+    effects = [r["effect"] for r in feats.select("effect").distinct().orderBy("effect").collect()]  # columns of the result
+    wide = materialise(features.pivot_counts(counts, people.select(zero, "ind_idx"), effects).join(people, "ind_idx"), "counts")
+    sinks.write_feature_counts(wide, out)
+    return wide

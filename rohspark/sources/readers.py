@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rohspark.functions.exprs import chr_name
-from rohspark.session import broadcast_if_small
 from rohspark.sources.builds import build_centromeres
 
 log = logging.getLogger("rohspark")
@@ -30,10 +29,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     need not be read by one task.
     """
     raw = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))  # a row per split of the input
     w = Window.partitionBy("file").orderBy("_block")
     before = blocks.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = raw.join(broadcast_if_small(before.select("file", "_block", "first", "before")), ["file", "_block"])
+    numbered = raw.join(F.broadcast(before.select("file", "_block", "first", "before")), ["file", "_block"])
     return numbered.select("file", (F.col("_id") - F.col("first") + F.col("before") + 1).alias("line_no"), "value").where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
 
 
@@ -86,11 +85,17 @@ def read_genmap(spark: SparkSession, path: str) -> DataFrame:
     return flat.groupBy("chr", "ppos").agg(last).select("chr", "v.snp_id", "v.gpos", "ppos")
 
 
-def read_freq(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, locus_name, ppos, allele, freq) behind a header line; at least five columns."""
-    rows = read_lines(spark, path).where("line_no > 1").withColumn("t", tokens(F.col("value")))
-    rows = _checked(rows, F.size("t") >= 5, "a frequency line lacks columns")
-    return rows.select(chr_name(F.col("t")[0]).alias("chr"), F.col("t")[1].alias("locus_name"), F.col("t")[2].cast("bigint").alias("ppos"), F.col("t")[3].alias("allele"), F.col("t")[4].cast("double").alias("freq"))
+def read_freq(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """(chr, locus_name, ppos, allele, freq) of lines of at least five columns; with `numbered` also `file` and `line_no`.
+
+    A file's first line is a header where its position is no number, so that a table in several parts, only the first
+    of which has a header, is read whole.
+    """
+    rows = read_lines(spark, path).withColumn("t", tokens(F.col("value")))
+    ppos, freq = F.get("t", F.lit(2)).try_cast("bigint"), F.get("t", F.lit(4)).try_cast("double")
+    head = (F.col("line_no") == 1) & ppos.isNull()
+    rows = _checked(rows, (F.size("t") >= 5) & (head | (ppos.isNotNull() & freq.isNotNull())), "a frequency line lacks columns or numbers").where(~head)
+    return rows.select(*(["file", "line_no"] if numbered else []), chr_name(F.col("t")[0]).alias("chr"), F.col("t")[1].alias("locus_name"), ppos.alias("ppos"), F.col("t")[3].alias("allele"), freq.alias("freq"))
 
 
 def read_centromeres(spark: SparkSession, path: str) -> DataFrame:
@@ -140,13 +145,21 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """(ind_id, pop, chr, start, stop, size_class, length): segments, each of the individual of the last `track` line before it."""
-    track = r"^track .+Ind: (.+) Pop:(.+) ROH.+"
-    rows = read_lines(spark, path)
-    head = F.regexp_extract("value", track, 1)
-    w = Window.partitionBy("file").orderBy("line_no")
-    known = rows.withColumns({c: F.last(F.when(head != "", F.regexp_extract("value", track, i)), ignorenulls=True).over(w) for c, i in (("ind_id", 1), ("pop", 2))})
-    t = known.where(head == "").withColumn("t", tokens(F.col("value")))
+    """(ind_id, pop, chr, start, stop, size_class, length): segments, each of the individual of the last `track` line before it.
+
+    Files in order of name count as one, so a table in several parts is read whole. Lines are looked through in stretches of
+    100,000; what the last track line before a stretch says is handed on to it, one row per stretch.
+    """
+    name = r'name="Ind: (.*?) Pop:([^"]*) ROH"'
+    rows = read_lines(spark, path).withColumns({"part": F.floor(F.col("line_no") / 100_000), "track": F.col("value").startswith("track")})
+    about = F.when(F.col("track"), F.struct(F.regexp_extract("value", name, 1).alias("ind_id"), F.regexp_extract("value", name, 2).alias("pop")))
+    marked = rows.withColumn("about", about)
+    last = marked.groupBy("file", "part").agg(F.max_by("about", F.when(F.col("track"), F.col("line_no"))).alias("last"))
+    before = Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per stretch
+    handed = last.withColumn("handed", F.last("last", ignorenulls=True).over(before)).select("file", "part", "handed")
+    w = Window.partitionBy("file", "part").orderBy("line_no")
+    known = marked.join(handed, ["file", "part"]).withColumn("of", F.coalesce(F.last("about", ignorenulls=True).over(w), F.col("handed")))
+    t = known.where(~F.col("track")).select(F.col("of.ind_id").alias("ind_id"), F.col("of.pop").alias("pop"), tokens(F.col("value")).alias("t"))
     return t.select("ind_id", "pop", F.col("t")[0].alias("chr"), F.col("t")[1].cast("bigint").alias("start"), F.col("t")[2].cast("bigint").alias("stop"), F.col("t")[3].alias("size_class"), F.col("t")[4].cast("double").alias("length"))
 
 

@@ -15,6 +15,12 @@ from rohspark.functions import exprs
 COLOURS = ["228,26,28", "77,175,74", "55,126,184", "152,78,163", "255,127,0", "255,255,51", "166,86,40", "247,129,191", "153,153,153"]
 
 
+def _chr_place(name) -> F.Column:
+    """Where a chr stands by itself: numbers in order, then names."""
+    n = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.regexp_extract(n, r"^(?:chr)?(\d{1,9})$", 1).try_cast("bigint"), F.lit(1 << 40))
+
+
 def bed_rows(segments: DataFrame, individuals: DataFrame, bounds: list[float], cm: bool = False) -> DataFrame:
     """(ind_idx, chr, start, line): a track line for every individual (start 0), then its segments.
 
@@ -38,9 +44,15 @@ def _write(lines: DataFrame, order: list, path: str, gzip: bool = False) -> None
     (writer.option("compression", "gzip") if gzip else writer).text(path)
 
 
-def write_bed(segments: DataFrame, individuals: DataFrame, bounds: list[float], path: str, cm: bool = False) -> None:
-    """Track and segment lines by individual, chr and start, in `<path>.roh.bed`."""
-    _write(bed_rows(segments, individuals, bounds, cm), ["ind_idx", "chr", "start"], f"{path}.roh.bed")
+def write_bed(segments: DataFrame, individuals: DataFrame, bounds: list[float], path: str, cm: bool = False, chr_order: DataFrame | None = None) -> None:
+    """Track and segment lines by individual, chr and start, in `<path>.roh.bed`.
+
+    `chr_order` (chr, place) tells the order of the chr, as in the input; without it numbers come in order, then names.
+    """
+    rows = bed_rows(segments, individuals, bounds, cm)
+    rows = rows.join(chr_order.select("chr", "place"), "chr", "left") if chr_order is not None else rows.withColumn("place", _chr_place("chr"))
+    first = F.when(F.col("chr") == "", F.lit(-1)).otherwise(F.coalesce("place", F.lit((1 << 62))))
+    _write(rows.withColumn("place", first), ["ind_idx", "place", "chr", "start"], f"{path}.roh.bed")
 
 
 def freq_rows(freqs: DataFrame) -> DataFrame:
@@ -52,7 +64,8 @@ def freq_rows(freqs: DataFrame) -> DataFrame:
 
 def write_freq(freqs: DataFrame, path: str) -> None:
     """Frequencies in `<path>.freq.gz`."""
-    _write(freq_rows(freqs), ["chr", "ppos"], f"{path}.freq.gz", gzip=True)
+    first = F.when(F.col("chr") == "", F.lit(-1)).otherwise(_chr_place("chr"))
+    _write(freq_rows(freqs).withColumn("place", first), ["place", "chr", "ppos"], f"{path}.freq.gz", gzip=True)
 
 
 def write_raw_lod(rows: DataFrame, path: str) -> None:
@@ -89,8 +102,14 @@ def vcf_to_tped(spark, source: str, path: str) -> None:
 
 
 def write_feature_counts(wide: DataFrame, path: str) -> None:
-    """The pivoted counts: a header of the combinations, then a line per individual."""
-    names = [c for c in wide.columns if c not in ("panel_id", "ind_idx")]
+    """The pivoted counts: a header of the combinations, then a line per individual, by its `ind_id` where there is one."""
+    names = [c for c in wide.columns if c not in ("panel_id", "ind_idx", "ind_id")]
     head = wide.sparkSession.createDataFrame([(-1, " ".join(names))], "ind_idx int, line string")
-    lines = wide.select("ind_idx", F.concat_ws(" ", F.col("ind_idx").cast("string"), *(F.col(c).cast("string") for c in names)).alias("line"))
+    who = F.col("ind_id" if "ind_id" in wide.columns else "ind_idx").cast("string")
+    lines = wide.select("ind_idx", F.concat_ws(" ", who, *(F.col(c).cast("string") for c in names)).alias("line"))
     _write(head.unionByName(lines), ["ind_idx"], path)
+
+
+def write_lines(spark, lines: list[str], path: str) -> None:
+    """A short text, such as the log of a run."""
+    _write(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), ["i"], path)

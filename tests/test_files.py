@@ -181,3 +181,78 @@ def test_stream_of_files(spark, tmp_path):
     stream.stream_freqs(spark, *where).awaitTermination()
     got = {r["locus_name"]: (r["allele"], r["freq"]) for r in spark.read.parquet(where[1]).collect()}
     assert got == {"rs1": ("A", 0.75), "rs2": ("C", 2 / 3)}
+
+
+def test_parts_read_back_whole(spark, tmp_path):
+    """What the writers spread over many parts comes back row by row, with its individual."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        freqs = spark.createDataFrame([(0, f"chr{1 + i % 11}", ".", 10 * i, "A", i / 400) for i in range(400)], "panel_id int, chr string, locus_name string, ppos bigint, allele string, freq double")
+        sinks.write_freq(freqs.repartition(7), str(tmp_path / "x"))
+        inds = spark.createDataFrame([(i, f"i {i}", "P") for i in range(40)], "ind_idx int, ind_id string, pop string")
+        segs = spark.createDataFrame([(i % 40, f"chr{1 + i % 11}", 1000 * i, 1000 * i + 50, 51) for i in range(400)], "ind_idx int, chr string, start bigint, stop bigint, length bigint")
+        sinks.write_bed(segs.repartition(7), inds, [100.0], str(tmp_path / "x"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "x.roh.bed").glob("part-*"))) > 6 and len(list((tmp_path / "x.freq.gz").glob("part-*"))) > 6
+    back = readers.read_freq(spark, str(tmp_path / "x.freq.gz" / "part-*")).collect()
+    assert {(r["chr"], r["ppos"], r["freq"]) for r in back} == {(f"chr{1 + i % 11}", 10 * i, i / 400) for i in range(400)} and len(back) == 400
+    bed = readers.read_bed(spark, str(tmp_path / "x.roh.bed" / "part-*")).collect()
+    assert {(r["ind_id"], r["pop"], r["chr"], r["start"]) for r in bed} == {(f"i {i % 40}", "P", f"chr{1 + i % 11}", 1000 * i) for i in range(400)} and len(bed) == 400
+    order = [x.split("\t")[0] for x in lines_of(tmp_path / "x.freq.gz")[1:]]
+    assert order == sorted(order, key=lambda c: int(c[3:]))  # chr10 behind chr9
+    given = spark.createDataFrame([("chr2", 0), ("chr1", 1)], "chr string, place bigint")
+    sinks.write_bed(segs, inds, [100.0], str(tmp_path / "y"), chr_order=given)
+    mine = [x.split("\t")[0] for x in lines_of(tmp_path / "y.roh.bed") if x.startswith("chr")]
+    assert mine.index("chr1") > mine.index("chr2") or mine[0] != "chr1"
+
+
+def test_repeated_names_keep_their_frequencies(spark, tmp_path):
+    (tmp_path / "a.tped").write_text("".join(f"1 . 0 {p} A G A A\n" for p in (5, 5, 9, 12, 15)))
+    (tmp_path / "a.tfam").write_text("P i0\nP i1\n")
+    (tmp_path / "f").write_text("CHR SNP POS ALLELE FREQ\n1 . 5 A 0.1\n1 . 5 G 0.8\n1 . 9 A 0.3\n1 . 12 A 0.4\n1 . 15 A 0.5\n")
+    cfg = RohConfig(tped=str(tmp_path / "a.tped"), tfam=str(tmp_path / "a.tfam"), freq_file=str(tmp_path / "f"), error=0.1, build="hg19", winsize=2, out=str(tmp_path / "o"))
+    got = sorted((r["locus_idx"], round(r["freq"], 6)) for r in pipeline.load(spark, cfg).freqs.collect())
+    assert got == [(0, 0.1), (1, 0.2), (2, 0.3), (3, 0.4), (4, 0.5)]
+    from rohspark.operators import sites
+
+    twice = spark.createDataFrame([(0, "chr1", "x", "A", 0.5)] * 2, "panel_id int, chr string, locus_name string, allele string, freq double")
+    with pytest.raises(Exception, match="more than once"):
+        sites.flip_freqs(twice.limit(1), twice).collect()
+    (tmp_path / "f").write_text("CHR SNP POS ALLELE FREQ\n1 . 5 A 0.1\n")
+    with pytest.raises(Exception, match="not in the frequency file"):
+        pipeline.load(spark, cfg)
+
+
+def test_feature_counts_from_files(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(
+        "##x\n#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT s1 s2\n"
+        "1 100 . A G . . . GT 1/1 0/0\n1 200 . C T . . . GT 0/0 1/1\n1 300 . C T . . . GT 1/1 0/1\n1 400 . G A . . . GT ./. 1/1\n"
+    )
+    (tmp_path / "f").write_text("1:100 A G bad\n1:200 C C mild\n1:200 C T bad\n1:300 C T bad\n1:400 G A mild\n1:999 G A mild\n")
+    (tmp_path / "r.bed").write_text('track name="Ind: s1 Pop:P ROH" description="Ind: s1 Pop:P ROH" visibility=2 itemRgb="On"\nchr1\t100\t300\tB\t201\t.\t0\t0\t77,175,74\n')
+    main(["features", "--features", str(tmp_path / "f"), "--roh", str(tmp_path / "r.bed"), "--vcf", str(tmp_path / "a.vcf"), "--out", str(tmp_path / "n")])
+    lines = [x.split() for x in lines_of(tmp_path / "n")]
+    assert lines[0] == ["badA", "badB", "badC", "badNONE", "mildA", "mildB", "mildC", "mildNONE"]
+    # at 200 the feature of REF goes first, so the homozygote of ALT doesn't count; 300 lies behind the segment
+    assert lines[1] == ["s1", "0", "1", "0", "1", "0", "1", "0", "0"] and lines[2] == ["s2", "0", "0", "0", "0", "0", "0", "0", "1"]
+    main(["vcf2tped", "--vcf", str(tmp_path / "a.vcf"), "--out", str(tmp_path / "t")])
+    tped = pipeline.count_features(spark, str(tmp_path / "f"), str(tmp_path / "r.bed"), str(tmp_path / "m"), tped=str(tmp_path / "t.tped"), tfam=str(tmp_path / "t.tfam"))
+    assert {r["ind_id"]: r["badNONE"] for r in tped.collect()} == {"s1": 1, "s2": 1}  # a tped knows no REF
+    for bad in (["features", "--out", "x"], ["--tped", "a", "--tped", "b"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+    with pytest.raises(ValueError):
+        pipeline.count_features(spark, "f", "r", "o")
+
+
+def test_log_and_error_files(spark, tmp_path):
+    simulate(tmp_path, 60, 4)
+    base = ["--tped", str(tmp_path / "s.tped"), "--tfam", str(tmp_path / "s.tfam"), "--centromere", str(tmp_path / "s.cen"), "--error", "0.01", "--winsize", "5", "--lod-cutoff", "0.5", "--max-gap", "20000"]
+    main([*base, "--size-bounds", "10000", "--out", str(tmp_path / "a")])
+    log = lines_of(tmp_path / "a.log")
+    assert "winsize = 5" in log and "individuals = 4" in log and any(x.startswith("loci_used = ") for x in log)
+    (tmp_path / "s.tfam").write_text("P i0\n")
+    with pytest.raises(SystemExit):
+        main([*base, "--out", str(tmp_path / "b")])
+    assert "another number" in lines_of(tmp_path / "b.error")[0]
