@@ -144,6 +144,26 @@ def chr_stats(genotypes: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
+def chr_sites(loci: DataFrame, blocks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per chr: `loci_rows`, `loci_sites` (distinct panel and locus), and of its blocks `panels`, `nloci`, `nloci_known` and `nloci_stale`.
+
+    The sites come from the same range partitions and stitched states as the calls. A block is one (panel, chr), of whose rows
+    the largest `nloci` counts; `nloci` is their sum, `nloci_known` the blocks where it isn't null, and `nloci_stale` those where it
+    isn't the number of the block's sites in `loci`. A chr of one table alone has nulls for the other, a null chr is a group of
+    its own; rows of a null panel are a panel's like any other. Empty tables give no rows.
+    """
+    as_calls = loci.select("chr", "panel_id", "locus_idx", F.lit(0).alias("ind_idx"), F.lit(None).cast("timestamp").alias("loaded_at"), F.lit(None).cast("smallint").alias("g"))
+    there = chr_stats(as_calls, partitions).select("chr", F.col("n_rows").alias("loci_rows"), F.col("sites").alias("loci_sites"))
+    block = blocks.groupBy("panel_id", "chr").agg(F.max("nloci").alias("nloci"))
+    sizes = loci.groupBy("panel_id", "chr", "locus_idx").agg(F.count(F.lit(1)).alias("_n")).groupBy("panel_id", "chr").agg(F.count(F.lit(1)).alias("size"))
+    b, z = block.alias("b"), sizes.alias("z")
+    both = b.join(z, F.col("b.panel_id").eqNullSafe(F.col("z.panel_id")) & F.col("b.chr").eqNullSafe(F.col("z.chr")), "left")
+    stale = F.col("b.nloci").isNotNull() & (F.col("b.nloci") != F.coalesce("z.size", F.lit(0)))
+    told = both.groupBy(F.col("b.chr").alias("chr")).agg(F.count(F.lit(1)).alias("panels"), F.sum("b.nloci").alias("nloci"), F.count("b.nloci").alias("nloci_known"), F.count(F.when(stale, 1)).alias("nloci_stale"))
+    t, u = there.alias("t"), told.alias("u")
+    return t.join(u, F.col("t.chr").eqNullSafe(F.col("u.chr")), "full").select(F.coalesce("t.chr", "u.chr").alias("chr"), "loci_rows", "loci_sites", "panels", "nloci", "nloci_known", "nloci_stale")
+
+
 def heavy_chr(genotypes: DataFrame, share: float = 0.04, partitions: int | None = None) -> DataFrame:
     """Each non-null chr that holds at least `share` of all rows; of an empty table, none."""
     stats = chr_stats(genotypes, partitions).select("chr", "n_rows")

@@ -29,6 +29,26 @@ SELECT c.chr, r.n_rows, c.calls, c.missing, c.sites, c.n0, c.n1, c.n2 FROM (
   FROM cur GROUP BY chr) c
 JOIN (SELECT chr, count(*) AS n_rows FROM genotypes GROUP BY chr) r ON r.chr = c.chr"""
 
+P2_SITES_SQL = """
+WITH z AS (SELECT panel_id, chr, count(DISTINCT locus_idx) AS size FROM loci GROUP BY panel_id, chr),
+b AS (SELECT panel_id, chr, max(nloci) AS nloci FROM map_blocks GROUP BY panel_id, chr),
+l AS (SELECT chr, count(*) AS loci_rows, count(DISTINCT (panel_id, locus_idx)) AS loci_sites FROM loci GROUP BY chr),
+u AS (
+  SELECT b.chr, count(*) AS panels, sum(b.nloci)::BIGINT AS nloci, count(b.nloci) AS nloci_known, count(*) FILTER (WHERE b.nloci <> coalesce(z.size, 0)) AS nloci_stale
+  FROM b LEFT JOIN z ON z.panel_id = b.panel_id AND z.chr = b.chr GROUP BY b.chr)
+SELECT coalesce(l.chr, u.chr) AS chr, loci_rows, loci_sites, panels, nloci, nloci_known, nloci_stale FROM l FULL JOIN u ON u.chr = l.chr"""
+
+P3_MASK_SQL = f"""
+WITH cur AS ({_CURRENT}),
+site AS (SELECT panel_id, chr, locus_idx FROM cur WHERE g IN (0, 1, 2) GROUP BY ALL)
+SELECT c.panel_id, c.chr, count(*) AS calls, count(*) FILTER (WHERE (c.g IS NULL OR c.g NOT IN (0, 1, 2)) AND s.chr IS NOT NULL) AS filled,
+  count(*) FILTER (WHERE (c.g IS NULL OR c.g NOT IN (0, 1, 2)) AND s.chr IS NULL) AS left_missing, 0::BIGINT AS odd
+FROM cur c LEFT JOIN site s ON s.panel_id = c.panel_id AND s.chr = c.chr AND s.locus_idx = c.locus_idx GROUP BY c.panel_id, c.chr"""
+
+P3_POP_MASK_SQL = f"""
+WITH inds AS ({_INDS}), fam AS (SELECT fam_id FROM inds WHERE pop IS NOT NULL AND fam_id IS NOT NULL GROUP BY ALL)
+SELECT i.ind_idx, i.pop, i.pop IS NULL AND f.fam_id IS NOT NULL AS pop_was_filled, true AS of_family FROM inds i LEFT JOIN fam f ON f.fam_id = i.fam_id"""
+
 P3_FOUND_SQL = f"""
 WITH cur AS ({_CURRENT}), inds AS ({_INDS}),
 site AS (SELECT panel_id, chr, locus_idx FROM cur WHERE g IN (0, 1, 2) GROUP BY ALL),
@@ -76,6 +96,26 @@ def p2_chr_stats(spark: SparkSession, d: str) -> DataFrame:
     return key_stats.chr_stats(table(spark, d, "genotypes"))
 
 
+def p2_chr_sites(spark: SparkSession, d: str) -> DataFrame:
+    return key_stats.chr_sites(table(spark, d, "loci"), table(spark, d, "map_blocks"))
+
+
+def p3_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Per panel and chr: current calls, those that were filled and those left missing, and fills that are no call."""
+    calls = p3_calls_filled(spark, d)
+    left = F.col("g").isNull() & ~F.col("g_was_filled")
+    odd = (F.col("g_was_filled") & (F.col("g").isNotNull() | ~F.coalesce(F.col("g_filled").isin(0, 1, 2), F.lit(False)))) | (~F.col("g_was_filled") & ~F.col("g").eqNullSafe(F.col("g_filled")))
+    return calls.groupBy("panel_id", "chr").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("g_was_filled"), 1)).alias("filled"), F.count(F.when(left, 1)).alias("left_missing"), F.count(F.when(odd, 1)).alias("odd"))
+
+
+def p3_pop_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Individuals with their pop, whether it was filled, and whether the fill is a pop of the family."""
+    people = p3_pops_filled(spark, d)
+    known = people.where("pop IS NOT NULL AND fam_id IS NOT NULL").select(F.col("fam_id").alias("f"), F.col("pop").alias("p")).distinct()
+    marked = people.join(known, (F.col("fam_id") == F.col("f")) & (F.col("pop_filled") == F.col("p")), "left")
+    return marked.select("ind_idx", "pop", "pop_was_filled", (~F.col("pop_was_filled") | F.col("p").isNotNull()).alias("of_family"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return em_impute.filled_cases(table(spark, d, "genotypes"), table(spark, d, "individuals"), table(spark, d, "populations"))
 
@@ -101,5 +141,5 @@ def p4_centromere_rows(spark: SparkSession, d: str) -> DataFrame:
     return record_parse.valid_rows(_parsed(spark, d, "centromere"), "centromere")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_chr_stats, p3_found, p3_calls_filled, p3_pops_filled, p4_found, p4_tped_rows, p4_centromere_rows)}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_chr_stats": P2_STATS_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_tped_rows": P4_TPED_SQL, "p4_centromere_rows": P4_CEN_SQL}
+QUERIES = {f.__name__: f for f in (p2_found, p2_chr_stats, p2_chr_sites, p3_found, p3_mask, p3_pop_mask, p3_calls_filled, p3_pops_filled, p4_found, p4_tped_rows, p4_centromere_rows)}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_chr_stats": P2_STATS_SQL, "p2_chr_sites": P2_SITES_SQL, "p3_found": P3_FOUND_SQL, "p3_mask": P3_MASK_SQL, "p3_pop_mask": P3_POP_MASK_SQL, "p4_found": P4_FOUND_SQL, "p4_tped_rows": P4_TPED_SQL, "p4_centromere_rows": P4_CEN_SQL}
