@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rohspark.llm import digest, leaks, packing, quality, runs
-from rohspark.operators.em_impute import current_calls
 from rohspark.session import materialise, table
 
 
 def _call_runs(spark: SparkSession, d: str, min_events: int) -> DataFrame:
     genotypes = table(spark, d, "genotypes")
-    return runs.collapse_runs(current_calls(genotypes), ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events, range_of=genotypes, unique=True)
+    calls = genotypes.select("ind_idx", "chr", "locus_idx", "ppos", F.when(F.col("g").isin(0, 1, 2), F.col("g")).cast("int").alias("g"), F.unix_micros("loaded_at").alias("version"))
+    return runs.collapse_runs(calls, ["ind_idx", "chr"], "locus_idx", "ppos", "g", max_step=500_000, min_flank=5, min_events=min_events, range_of=genotypes, version="version")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -66,9 +66,64 @@ def _field(entries: pa.StructArray, name: str) -> np.ndarray:
     return entries.field(name).to_numpy(zero_copy_only=False)
 
 
+_LISTS = ("_o", "_p", "_s", "_v")
+_HELD = 500_000  # rows whose versions a task tells apart at a time
+
+
+def _latest(group: np.ndarray, order: np.ndarray, version: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Places of the last version of each event, by group and order; of equal versions that with the largest symbol."""
+    by = np.lexsort((symbol, version, order, group))
+    g, o = group[by], order[by]
+    return by[np.concatenate([(g[1:] != g[:-1]) | (o[1:] != o[:-1]), [True]])] if len(by) else by
+
+
+def _latest_lists(events: DataFrame, entity: list[str], order: str, position: str, symbol: str, version: str, chunk: int) -> DataFrame:
+    """(entity, _chunk, _o, _p, _s, _v): events as lists per entity and chunk, made within each partition.
+
+    Of the versions of one event that a task holds together only the last leaves it, so that copies of an event shrink before they
+    are shuffled, and what is shuffled are lists, not rows.
+    """
+    known = F.col(order).isNotNull()
+    for c in entity:
+        known = known & F.col(c).isNotNull()
+    sound = F.col(position).isNotNull() & (F.col(symbol) >= 0)
+    s = F.when(sound, F.col(symbol)).otherwise(F.lit(-1)).cast("int")
+    latest = F.coalesce(F.col(version), F.lit(-(1 << 62))).cast("bigint")
+    rows = events.where(known).select(*entity, F.col(order).cast("bigint").alias("_o"), F.coalesce(F.col(position).cast("bigint"), F.lit(0).cast("bigint")).alias("_p"), s.alias("_s"), latest.alias("_v"))
+
+    def gather(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tab = pa.Table.from_batches(held).combine_chunks()
+        code = np.zeros(tab.num_rows, dtype=np.int64)
+        for c in entity:
+            d = tab.column(c).combine_chunks().dictionary_encode()
+            code = np.unique(code * (len(d.dictionary) + 1) + d.indices.to_numpy(), return_inverse=True)[1]
+        o, p, s, v = (tab.column(c).to_numpy() for c in _LISTS)
+        by = _latest(code, o, v, s)
+        g, part = code[by], o[by] // chunk
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])]))
+        offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (o, p, s, v)]
+        heads = pa.array(by[starts])
+        return pa.RecordBatch.from_arrays([*(tab.column(c).combine_chunks().take(heads) for c in entity), pa.array(part[starts]), *lists], names=[*entity, "_chunk", *_LISTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _HELD:
+                yield gather(held)
+                held, n = [], 0
+        if n:
+            yield gather(held)
+
+    entity_type = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in entity)
+    return rows.mapInArrow(run, f"{entity_type}, _chunk bigint, _o array<bigint>, _p array<bigint>, _s array<int>, _v array<bigint>")
+
+
 def collapse_runs(
     events: DataFrame, entity: list[str], order: str, position: str, symbol: str, max_step: int, min_flank: int = 5, min_events: int = 1, chunk: int = 4096,
-    range_of: DataFrame | None = None, unique: bool = False,
+    range_of: DataFrame | None = None, version: str | None = None,
 ) -> DataFrame:
     """One row per run: entity, `symbol`, `n_events`, `n_bridged`, `start_<position>`, `stop_<position>`, `extent`.
 
@@ -80,8 +135,9 @@ def collapse_runs(
     `n_events` leaves out the bridged events, and runs with fewer than `min_events` are left out.
     `extent` is the distance of the outermost positions, both included. Events with the same entity
     and order are taken in order of position, then symbol; repeated events count each, and are counted
-    before they are gathered, so that copies of one event don't fill a task. `unique` promises that there are none, which
-    spares that step. Further columns are ignored. An empty table gives no rows.
+    before they are gathered, so that copies of one event don't fill a task. With `version`, the name of a bigint column, rows of one
+    entity and order are versions of one event: the largest counts (null is the least; of equals the largest symbol, no symbol
+    being least), before anything else is left out; `order` must be whole numbers. Further columns are ignored. An empty table gives no rows.
 
     The range of `order`, which tells the number of chunks, is looked up first; `range_of` may name a table that is
     cheaper to read and whose `order` covers that of the events.
@@ -91,22 +147,32 @@ def collapse_runs(
     ok = F.col(symbol) >= 0
     for c in (*entity, order, position):
         ok = ok & F.col(c).isNotNull()
-    used = events.where(ok).select(*key, F.floor(F.col(order) / F.lit(chunk)).cast("bigint").alias("_chunk"), F.struct(F.col(order).cast("bigint").alias("o"), F.col(position).cast("bigint").alias("p"), F.col(symbol).cast("int").alias("s")).alias("_e"))
-    if not unique:
+    if version is None:
+        used = events.where(ok).select(*key, F.floor(F.col(order) / F.lit(chunk)).cast("bigint").alias("_chunk"), F.struct(F.col(order).cast("bigint").alias("o"), F.col(position).cast("bigint").alias("p"), F.col(symbol).cast("int").alias("s")).alias("_e"))
         counted = used.groupBy(*entity, "_chunk", "_e").agg(F.count(F.lit(1)).alias("n"))
         used = counted.select(*entity, "_chunk", F.struct("_e.o", "_e.p", "_e.s", "n").alias("_e"))
+        grouped = used.groupBy(*entity, "_chunk").agg(F.sort_array(F.collect_list("_e")).alias("_es"))  # at most `chunk` orders a group
+    else:
+        gathered = _latest_lists(events, entity, order, position, symbol, version, chunk)
+        grouped = gathered.groupBy(*entity, "_chunk").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in _LISTS))  # a few versions of at most `chunk` orders a group
     reach = (events.where(ok) if range_of is None else range_of).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     first, last = (int(reach["a"] // chunk), int(reach["b"] // chunk)) if reach["a"] is not None else (0, 0)
-    grouped = used.groupBy(*entity, "_chunk").agg(F.sort_array(F.collect_list("_e")).alias("_es"))  # at most `chunk` orders a group
     entity_type = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in entity)
     schema = f"{entity_type}, _chunk bigint, _ord int, open boolean, cut boolean, s int, n bigint, nb bigint, a bigint, b bigint"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, entries = _lists(batch, "_es")
+            if version is None:
+                row, entries = _lists(batch, "_es")
+                p, s, n = _field(entries, "p"), _field(entries, "s").astype(np.int64), _field(entries, "n")
+            else:
+                row, o = _lists(batch, "_o")
+                o, p, s, v = (batch.column(c).flatten().to_numpy() for c in _LISTS)
+                kept = _latest(row, o, v, s)
+                kept = kept[s[kept] >= 0]
+                row, p, s, n = row[kept], p[kept], s[kept].astype(np.int64), np.ones(len(kept), dtype=np.int64)
             if not len(row):
                 continue
-            p, s, n = _field(entries, "p"), _field(entries, "s").astype(np.int64), np.ones(len(row), dtype=np.int64) if unique else _field(entries, "n")
             if s.max() > MAX_SYMBOL:
                 raise ValueError(f"symbols may not exceed {MAX_SYMBOL}")
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] - p[:-1] > max_step)])

@@ -76,3 +76,23 @@ def test_cases(spark):
     assert go(long) == [(1, "a", 7, 30_000, 0, 0, 29_999, 30_000)]
     with pytest.raises(Exception, match="symbols"):
         go([(1, "a", 0, 0, runs.MAX_SYMBOL + 1, "")])
+
+
+@pytest.mark.parametrize("chunk", [3, 10_000])
+def test_the_last_version_counts(spark, chunk, monkeypatch):
+    r = random.Random(chunk)
+    events = [(*e[:5], v) for who in range(12) for e in sequence(r, who, 60, 0.9) for v in [r.randrange(3)]]
+    older = [(who, line, o, 7, 2, v - r.randrange(1, 3)) for who, line, o, _, _, v in events if r.random() < 0.4]
+    gone = [(*events[k][:3], None, None, 9) for k in range(0, len(events), 11)]  # later versions without a symbol
+    rows = [*events, *older, *older[:50], *gone, (None, "a", 1, 1, 1, 1), (1, "a", None, 1, 1, 1)] + [events[1]] * 500
+    r.shuffle(rows)
+    last = {}
+    for e in [*events, *gone]:
+        if e[:3] not in last or e[5] > last[e[:3]][5]:
+            last[e[:3]] = e
+    df = spark.createDataFrame(rows, "who int, line string, o int, p bigint, s int, version bigint").repartition(3)
+    for held in (40, 500_000):
+        monkeypatch.setattr(runs, "_HELD", held)
+        got = runs.collapse_runs(df, ["who", "line"], "o", "p", "s", max_step=50, min_flank=4, chunk=chunk, version="version")
+        assert sorted(tuple(x) for x in got.collect()) == brute(list(last.values()), 50, 4, 1)
+    assert runs.collapse_runs(df.limit(0), ["who", "line"], "o", "p", "s", max_step=50, version="version").count() == 0
