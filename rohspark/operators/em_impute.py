@@ -91,10 +91,10 @@ def weigh(df: DataFrame, fields: list[str], weight: str | None = None) -> DataFr
     return df.groupBy(*fields).agg(F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
 
 
-def _summed(df: DataFrame, step, width: int, at_driver: int = 1000) -> np.ndarray:
+def _summed(df: DataFrame, step, width: int, parts: int | None = None, at_driver: int = 1000) -> np.ndarray:
     """Sum over all partitions of the vectors that `step` makes of pandas batches.
 
-    A partition gives one vector of `width`. Those of up to `at_driver` partitions are added up at the
+    Each of the `parts` partitions gives one vector of `width`. Those of up to `at_driver` partitions are added up at the
     driver, which spares a shuffle per iteration; more are added up by place first.
     """
 
@@ -106,7 +106,7 @@ def _summed(df: DataFrame, step, width: int, at_driver: int = 1000) -> np.ndarra
         yield pd.DataFrame({"v": [total]})
 
     vectors = df.mapInPandas(partials, "v array<double>")
-    if df.rdd.getNumPartitions() <= at_driver:
+    if (df.rdd.getNumPartitions() if parts is None else parts) <= at_driver:
         return np.sum([r["v"] for r in vectors.collect()] or [np.zeros(width)], axis=0)
     rows = vectors.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # `width` rows
     out = np.zeros(width)
@@ -123,17 +123,18 @@ def fit_mixture(records: DataFrame, numeric: list[str], levels: dict[str, list],
     empty table gives equal classes with zero means.
     """
     d, sizes = len(numeric), {c: len(lv) for c, lv in levels.items()}
+    parts = records.rdd.getNumPartitions()
 
     def moments(pdf: pd.DataFrame) -> np.ndarray:
         x, w = _numeric(pdf, numeric), pdf["_w"].to_numpy("float64")
         seen, x0 = ~np.isnan(x), np.nan_to_num(x)
-        parts = [[w.sum()], w @ seen, w @ x0, w @ x0**2]
+        sums = [[w.sum()], w @ seen, w @ x0, w @ x0**2]
         for c, lv in levels.items():
             idx = pd.Index(lv).get_indexer(pdf[c]) if lv else np.full(len(pdf), -1)
-            parts.append(np.bincount(idx[idx >= 0], w[idx >= 0], minlength=len(lv)) if lv else np.zeros(0))
-        return np.concatenate(parts)
+            sums.append(np.bincount(idx[idx >= 0], w[idx >= 0], minlength=len(lv)) if lv else np.zeros(0))
+        return np.concatenate(sums)
 
-    total = _summed(records, moments, 1 + 3 * d + sum(sizes.values()))
+    total = _summed(records, moments, 1 + 3 * d + sum(sizes.values()), parts)
     n, seen, sx, sxx = total[0], total[1 : 1 + d], total[1 + d : 1 + 2 * d], total[1 + 2 * d : 1 + 3 * d]
     mean = np.divide(sx, seen, out=np.zeros(d), where=seen > 0)
     var = np.maximum(np.divide(sxx, seen, out=np.ones(d), where=seen > 0) - mean**2, _LEAST_VAR)
@@ -155,15 +156,15 @@ def fit_mixture(records: DataFrame, numeric: list[str], levels: dict[str, list],
         resp, ll = model.responsibilities(x, codes)
         r = resp * w[:, None]
         seen, x0 = (~np.isnan(x)).astype(float), np.nan_to_num(x)
-        parts = [[w @ ll], r.sum(axis=0), (r.T @ seen).ravel(), (r.T @ x0).ravel(), (r.T @ x0**2).ravel()]
+        sums = [[w @ ll], r.sum(axis=0), (r.T @ seen).ravel(), (r.T @ x0).ravel(), (r.T @ x0**2).ravel()]
         for c, size in sizes.items():
             idx = codes[c]
-            parts.append(np.array([np.bincount(idx[idx >= 0], r[idx >= 0, j], minlength=size) for j in range(k)]).reshape(-1))
-        return np.concatenate(parts)
+            sums.append(np.array([np.bincount(idx[idx >= 0], r[idx >= 0, j], minlength=size) for j in range(k)]).reshape(-1))
+        return np.concatenate(sums)
 
     width = 1 + k + 3 * k * d + k * sum(sizes.values())
     for i in range(max_iter):
-        s = _summed(records, lambda pdf, m=model: statistics(pdf, m), width)
+        s = _summed(records, lambda pdf, m=model: statistics(pdf, m), width, parts)
         ll, at = s[0] / n, 1
         nk, at = s[at : at + k], at + k
         seen_k, at = s[at : at + k * d].reshape(k, d), at + k * d
@@ -301,8 +302,8 @@ def fill_calls(genotypes: DataFrame, individuals: DataFrame, populations: DataFr
     A missing call is filled where another individual of the panel has a call at the site, else it
     stays null with `g_was_filled` false. `individuals` and `populations` are the raw tables.
     """
-    calls = current_calls(genotypes)
-    inds = current_individuals(individuals, populations)
+    calls = materialise(current_calls(genotypes).drop("first_copy"), "calls")  # read three times below
+    inds = materialise(current_individuals(individuals, populations), "individuals")
     fills = call_fills(calls, inds, k)
     key = ["ind_idx", "panel_id", "chr", "locus_idx", "ppos"]
     there = calls.where(F.col("g").isNotNull()).select(*key, "g", F.col("g").alias("g_filled"), F.lit(False).alias("g_was_filled"))
