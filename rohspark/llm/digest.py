@@ -24,10 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rohspark.session import broadcast_if_small, materialise
+from rohspark.session import materialise
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 DELTA = 1500.0
+_BROADCAST = 50_000  # groups whose estimates are broadcast at a time, about
 _FLUSH = 400_000  # values or centroids held by a task at a time
 
 
@@ -224,7 +225,17 @@ def _match(a: list[str]) -> Column:
 
 def _counted(values: DataFrame, estimates: DataFrame, keys: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
     """Per group, for each of `qs` the rows below and not above the estimate; counted per partition first."""
-    joined = values.alias("v").join(broadcast_if_small(estimates).alias("e"), _match(keys))
+    blocks = -(-estimates.count() // _BROADCAST) or 1  # more groups than fit one broadcast are counted block by block, so values aren't shuffled
+    found = None
+    for i in range(blocks):
+        some = estimates if blocks == 1 else estimates.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == i)
+        part = _counted_block(values, some, keys, value, qs)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _counted_block(values: DataFrame, estimates: DataFrame, keys: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
+    joined = values.alias("v").join(F.broadcast(estimates).alias("e"), _match(keys))
     v = F.col(f"v.{value}")
     sums = [F.sum(F.when(v < F.col("e.xs")[i], 1).otherwise(0)).alias(f"lt{i}") for i in range(len(qs))]
     sums += [F.sum(F.when(v <= F.col("e.xs")[i], 1).otherwise(0)).alias(f"le{i}") for i in range(len(qs))]

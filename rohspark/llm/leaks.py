@@ -3,9 +3,9 @@
 Words of normalised text are the alphabet: each word of the test items gets one character, every
 other word the same filler, so a text becomes a short string that the automaton scans once. Its
 patterns are all runs of `n` words of each passage (with the answer behind it, where asked for), and the
-whole of it if it is shorter. Only the automaton travels to the tasks; the texts are neither shuffled nor copied. Its
-size is bounded: where the items have more patterns than `max_patterns`, they are scanned in several
-blocks of that size, each over all texts.
+whole of it if it is shorter. Only the items travel to the tasks, which build the automaton; the texts are neither shuffled nor copied. Its
+size is bounded: where the items have more patterns than `max_patterns`, they are dealt to several
+blocks of that size, each scanned over all texts.
 """
 
 from __future__ import annotations
@@ -50,13 +50,13 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     i = 0
     while i < len(text):
         j = i + 1
-        form = unicodedata.normalize("NFKC", text[i])
         while j < len(text) and (ord(text[j]) > 0x2FF or ord(text[j - 1]) > 0x2FF):
-            longer = unicodedata.normalize("NFKC", text[i : j + 1])
-            if longer == form + unicodedata.normalize("NFKC", text[j]) and unicodedata.combining(text[j]) == 0:
-                break
-            form, j = longer, j + 1
-        low = form.lower()
+            if unicodedata.combining(text[j]) == 0:  # a run of marks is passed over in one go
+                form, behind = unicodedata.normalize("NFKC", text[i:j]), unicodedata.normalize("NFKC", text[j])
+                if unicodedata.normalize("NFKC", text[i : j + 1]) == form + behind:
+                    break
+            j += 1
+        low = unicodedata.normalize("NFKC", text[i:j]).lower()
         bounds.append((i, j))
         pieces += [len(bounds) - 1] * len(low)
         out.append(low)
@@ -87,9 +87,10 @@ class Automaton:
 
     @classmethod
     def of(cls, key: str, shared: Broadcast) -> "Automaton":
-        """The automaton of the broadcast patterns; a worker keeps the last one, under `key`."""
+        """The automaton of the broadcast items; a worker keeps the last one, under `key`."""
         if key not in cls._kept:
-            cls._kept = {key: cls(shared.value)}
+            items, n = shared.value
+            cls._kept = {key: cls(item_patterns(items, n))}
         return cls._kept[key]
 
     def scan(self, text: str) -> dict[int, list[int]]:
@@ -146,13 +147,12 @@ def find_leaks(
     size = held.agg(F.sum(F.length("p"))).first()[0] or 0
     if size > max_item_chars:
         raise ValueError(f"test items of {size} characters; at most {max_item_chars} are gathered at the driver")
-    patterns = item_patterns([(r["i"], r["p"]) for r in held.collect()], n)
     types = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"{doc_id} {types[0]}, {item_id} {types[1]}, n_matches int, leak_start int, leak_end int"
     rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(text))
 
     def block(part: list) -> DataFrame:
-        shared, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+        shared, key = spark.sparkContext.broadcast((part, n)), uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton.of(key, shared)
@@ -175,11 +175,13 @@ def find_leaks(
         return rows.mapInArrow(scan, schema)
 
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    blocks = [patterns[i : i + max_patterns] for i in range(0, len(patterns), max_patterns)] or [[]]
-    found = block(blocks[0])
-    if len(blocks) == 1:
-        return found
-    for more in blocks[1:]:
-        found = found.unionByName(block(more))
-    total = found.groupBy(doc_id, item_id).agg(F.sum("n_matches").cast("int").alias("n_matches"), F.min("leak_start").alias("leak_start"), F.max("leak_end").alias("leak_end"))
-    return total
+    found, part, size, last = None, [], 0, None
+    for r in held.orderBy("i", "p").toLocalIterator():  # one block at a time; all passages of an item are in one block
+        more = max(1, len((r["p"] or "").split()) - n + 1)
+        if part and size + more > max_patterns and r["i"] != last:
+            found = block(part) if found is None else found.unionByName(block(part))
+            part, size = [], 0
+        part.append((r["i"], r["p"]))
+        size, last = size + more, r["i"]
+    rest = block(part)
+    return rest if found is None else found.unionByName(rest)

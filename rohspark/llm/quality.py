@@ -19,7 +19,7 @@ _SPACES = bytes(i for i in range(128) if chr(i).isspace())
 _ALNUM = bytes(i for i in range(128) if chr(i).isalnum())
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _BLANK_LINES = re.compile(r"\n\s*\n")
-_BULLET = re.compile(r"(?:[-*+•◦‣]|\(?\d{1,3}[.)]|[a-z][.)])\s")
+_BULLET = re.compile(r"(?:[-*+•◦‣]|\(?[0-9]{1,3}[.)]|[a-z][.)])\s")
 
 #: Bounds of the verdict's first part, as stated for the project.
 LEAST_WORDS, WORD_LENGTH, MOST_SYMBOLS, LEAST_ENDED, COMMON = 12, (2.5, 15.0), 0.40, 0.03, (0.08, 0.70)

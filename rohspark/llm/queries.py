@@ -75,6 +75,12 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p8_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The line statistics behind the verdict."""
+    shares = [F.round(c, 6).alias(c) for c in ("ended_share", "dup_line_share", "list_line_share", "table_line_share")]
+    return p8_quality(spark, d).where("n_lines IS NOT NULL").select("doc_id", "n_lines", *shares)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_quality(spark, d).where("is_degenerate").select("doc_id")
 
@@ -131,7 +137,16 @@ s AS (
     len(list_filter(w, lambda x: list_contains(c.words, regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS common FROM t, c)
 SELECT doc_id FROM s WHERE n < 12 OR chars / n < 2.5 OR chars / n > 15 OR symbols / chars > 0.4e0 OR ended::DOUBLE / n_lines < 0.03e0 OR common::DOUBLE / n < 0.08e0 OR common::DOUBLE / n > 0.7e0"""
 
+P8_LINES = rf"""
+WITH t AS (
+  SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')), lambda x: regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS v FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(v) AS n_lines, CASE WHEN len(v) = 0 THEN 0e0 ELSE round(len(list_filter(v, lambda x: regexp_matches(x, '[.!?]$')))::DOUBLE / len(v), 6) END AS ended_share,
+  CASE WHEN len(v) = 0 THEN 0e0 ELSE round(1 - len(list_distinct(v))::DOUBLE / len(v), 6) END AS dup_line_share,
+  CASE WHEN len(v) = 0 THEN 0e0 ELSE round(len(list_filter(v, lambda x: regexp_matches(x, '^(?:[-*+•◦‣]|\(?[0-9]{{1,3}}[.)]|[a-z][.)])[{_WS}]')))::DOUBLE / len(v), 6) END AS list_line_share,
+  CASE WHEN len(v) = 0 THEN 0e0 ELSE round(len(list_filter(v, lambda x: length(x) - length(replace(x, '|', '')) >= 2 OR length(x) - length(replace(x, chr(9), '')) >= 2 OR length(x) - length(replace(x, ',', '')) >= 4))::DOUBLE / len(v), 6) END AS table_line_share
+FROM t"""
+
 P6_COVERAGE = "SELECT budget_id, capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS wrong, 0::BIGINT AS overfull FROM pack_budgets"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p5_small_groups, p6_packed, p6_fill_report, p6_neighbours, p6_coverage, p7_found, p7_leaks, p8_found, p8_quality)}
-SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p5_small_groups": P5_SMALL, "p6_coverage": P6_COVERAGE, "p8_found": P8_FOUND}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p5_small_groups, p6_packed, p6_fill_report, p6_neighbours, p6_coverage, p7_found, p7_leaks, p8_found, p8_quality, p8_lines)}
+SQL = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p5_groups": P5_GROUPS, "p5_small_groups": P5_SMALL, "p6_coverage": P6_COVERAGE, "p8_found": P8_FOUND, "p8_lines": P8_LINES}

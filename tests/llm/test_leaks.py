@@ -87,3 +87,12 @@ def test_long_text_and_empty_tables(spark):
     assert got["item_id"] == 5 and text[got["leak_start"] : got["leak_end"]].startswith("w")
     assert leaks.find_leaks(spark.createDataFrame([], D), items).count() == 0
     assert leaks.find_leaks(docs, spark.createDataFrame([], I)).count() == 0
+
+
+def test_a_long_run_of_marks_takes_no_longer():
+    import time
+
+    text = "a" + "\u0301" * 60_000 + " b " + "é" * 10
+    began = time.perf_counter()
+    assert len(leaks.word_spans(text)) == len(leaks.words(text))
+    assert time.perf_counter() - began < 5

@@ -84,3 +84,45 @@ def test_edge_tables(spark):
     assert quality.text_quality(spark.createDataFrame(rows[:1], D), spark.createDataFrame([], C)).first()["common_share"] == 0.0
     with pytest.raises(ValueError):
         quality.text_quality(spark.createDataFrame([], D), spark.createDataFrame([("", "a"), ("", "b")], C), max_common=1)
+
+
+def labelled(n=60, seed=4):
+    """(label, text): made texts of six kinds, with strays of the other kinds mixed in."""
+    r = random.Random(seed)
+    small = ["the", "of", "in", "is", "a", "and"]
+    nouns = [f"{a}{b}{c}" for a in ("ker", "mol", "tis", "va", "bru", "ol") for b in ("in", "eth", "ar") for c in ("t", "del", "mos", "ra")]
+
+    def sentence():
+        return " ".join(r.choice(small) if r.random() < 0.35 else r.choice(nouns) for _ in range(r.randrange(7, 16))).capitalize() + r.choice([".", ".", "!", "?"])
+
+    def prose():
+        return "\n\n".join(" ".join(sentence() for _ in range(r.randrange(2, 6))) for _ in range(r.randrange(2, 6)))
+
+    def item():
+        return r.choice(["- ", "* ", f"{r.randrange(1, 30)}. ", "• "]) + " ".join(r.choice(nouns) for _ in range(r.randrange(1, 6)))
+
+    def row():
+        sep = r.choice([" | ", "\t", ","])
+        return sep.join(r.choice([r.choice(nouns), str(r.randrange(999))]) for _ in range(6))
+
+    def mixed(part, stray):
+        return "\n".join(stray() if r.random() < 0.12 else part() for _ in range(r.randrange(8, 25)))
+
+    def junk():
+        return "\n".join("".join(r.choice("#$%&@{}<>=~ab1 ") for _ in range(40)) for _ in range(8))
+
+    def boilerplate():
+        same = [sentence() for _ in range(2)]
+        return "\n".join(r.choice(same) if r.random() < 0.8 else sentence() for _ in range(20))
+
+    kinds = {"prose": prose, "list": lambda: mixed(item, sentence), "table": lambda: mixed(row, sentence), "junk": junk, "boilerplate": boilerplate, "near-empty": lambda: " ".join(r.choice(nouns) for _ in range(r.randrange(0, 11)))}
+    return [(k, f()) for k, f in kinds.items() for _ in range(n)]
+
+
+def test_verdicts_on_labelled_texts():
+    j = quality.Judge(frozenset(["the", "of", "in", "is", "a", "and"]))
+    got = [(k, j.measure(t)[-1]) for k, t in labelled()]
+    for kind in {k for k, _ in got}:
+        said = sum(v == kind for _, v in got)
+        right = sum(k == v == kind for k, v in got)
+        assert right / said >= 0.95 and right / sum(k == kind for k, _ in got) >= 0.9, (kind, said, right)
