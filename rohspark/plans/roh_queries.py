@@ -566,6 +566,47 @@ def gmm_em_step(spark, d):
     return spark.createDataFrame([(i, *v) for i, v in enumerate(zip(m.weight, m.mean, m.var))], "k int, weight double, mean double, var double").select("k", _r("weight").alias("weight"), _r("mean", 4).alias("mean"), _r("var", 2).alias("var"))
 
 
+STEPS = 5
+
+
+def _step(model: str) -> str:
+    """SQL: the model after one EM step from `model`, and the log-likelihood that `model` had."""
+    return f"""
+  SELECT k, n / total AS weight, sx / n AS mean, sxx / n - pow(sx / n, 2) AS var, ll AS loglik FROM (
+    SELECT k, sum(r) AS n, sum(r * x) AS sx, sum(r * x * x) AS sxx, (SELECT count(*) FROM lens) AS total, any_value(ll) AS ll FROM (
+      SELECT k, x, exp(l - lse) AS r, sum(CASE WHEN k = 0 THEN lse ELSE 0e0 END) OVER () AS ll FROM (
+        SELECT *, m + ln(sum(exp(l - m)) OVER (PARTITION BY id)) AS lse FROM (
+          SELECT *, max(l) OVER (PARTITION BY id) AS m FROM (
+            SELECT p.id, p.x, i.k, ln(i.weight) - 0.5e0 * ln(2 * {math.pi!r} * i.var) - pow(p.x - i.mean, 2) / (2 * i.var) AS l FROM numbered_lens p, {model} i)))) GROUP BY k)"""
+
+
+_cte("numbered_lens", "lens", "SELECT row_number() OVER () AS id, x FROM lens")
+for _n in range(STEPS):
+    _cte(f"em{_n + 1}", f"lens numbered_lens {'em' + str(_n) if _n else 'init'}", _step(f"em{_n}" if _n else "init"))
+_cte("ranked", f"em{STEPS}", f"SELECT *, row_number() OVER (ORDER BY mean) - 1 AS i FROM em{STEPS}")
+
+def _five_steps(spark, d):
+    return mixture.fit_gmm(_kb(spark, d), 3, max_iter=STEPS, tol=-1.0)
+
+
+@_query("SELECT i::INT AS i, round(weight, 5) AS weight, round(mean, 3) AS mean, round(var, 1) AS var, round(loglik, 3) AS loglik, round(-2 * loglik + 8 * ln((SELECT count(*) FROM lens)), 3) AS bic FROM ranked", "ranked lens")
+def gmm_em_steps(spark, d):
+    m = _five_steps(spark, d)
+    rows = spark.createDataFrame([(i, *v, m.loglik, m.bic) for i, v in enumerate(zip(m.weight, m.mean, m.var))], "i int, weight double, mean double, var double, loglik double, bic double")
+    return rows.select("i", _r("weight", 5).alias("weight"), _r("mean", 3).alias("mean"), _r("var", 1).alias("var"), _r("loglik", 3).alias("loglik"), _r("bic", 3).alias("bic"))
+
+
+@_query("SELECT i::INT AS i, true AS densities_meet, true AS between_means FROM (SELECT unnest(range(2)) AS i)")
+def size_bounds_meet(spark, d):
+    """Whether the bounds of the fitted classes lie where the weighted densities of neighbours are equal."""
+    m = mixture.fit_gmm(_kb(spark, d), 3)
+    classes = list(zip(m.weight, m.mean, m.var))
+    rows = [(i, x, *a, *b) for i, (x, a, b) in enumerate(zip(mixture.size_bounds(m), classes, classes[1:]))]
+    found = spark.createDataFrame(rows, "i int, x double, a1 double, m1 double, v1 double, a2 double, m2 double, v2 double")
+    log = [F.ln(f"a{k}") - 0.5 * F.ln(f"v{k}") - F.pow(F.col("x") - F.col(f"m{k}"), F.lit(2.0)) / (2 * F.col(f"v{k}")) for k in (1, 2)]
+    return found.select("i", (F.abs(log[0] - log[1]) < 1e-6).alias("densities_meet"), F.col("x").between(F.col("m1"), F.col("m2")).alias("between_means"))
+
+
 @_query()
 def gmm_fit(spark, d):
     m = mixture.fit_gmm(_kb(spark, d), 3)
