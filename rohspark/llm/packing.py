@@ -44,7 +44,7 @@ K1, B = 1.2, 0.75
 SEED_EVERY = 50  # one text in so many is a seed: those whose id is divisible by it
 BLOCK_SEEDS, BLOCK_POSTINGS = 4096, 4_000_000  # of one shard of the index, at most (one text is never cut)
 RUN_TEXTS, RUN_POSTINGS = 2048, 8_000_000  # texts that are filled together, at most
-TASK_TEXTS = 32_768  # texts of one range partition, about
+TASK_TEXTS = 8192  # texts of one range partition, about
 SHARD_TEXTS = 2048  # seeds that are scored together, at most
 FIT = 2.0  # how strongly the share of the room that an item takes weighs beside its score
 FILLED = 0.985  # windows less full than this go on to the next run
