@@ -31,10 +31,11 @@ def _pair_counts(calls: DataFrame, w: int, phased: bool) -> DataFrame:
     code = (F.when(F.col("g").isin(0, 1, 2), F.col("g")).otherwise(F.lit(-1))).cast("tinyint")
     dealt = calls.select("panel_id", "chr", F.floor(F.col("ind_idx") / TILE_PEOPLE).cast("int").alias("block"), F.explode(tiles).alias("tile"), "idx", "ind_idx", code.alias("g"), F.coalesce(F.col("first_copy").cast("tinyint"), F.lit(-1).cast("tinyint")).alias("first"))
 
-    def count(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
-        panel, chrom, _, at = (k.as_py() for k in key)
+    key = ["panel_id", "chr", "block", "tile"]
+
+    def count(tab: pa.Table) -> pa.RecordBatch:
         idx, ind = (tab.column(c).to_numpy().astype(np.int64) for c in ("idx", "ind_idx"))
-        start = at * TILE_SITES
+        start = tab.column("tile")[0].as_py() * TILE_SITES
         row = np.unique(ind, return_inverse=True)[1]
         width = int(idx.max()) - start + 1
         g, first = (np.full((int(row.max()) + 1, width), -1, dtype=np.int8) for _ in range(2))
@@ -56,10 +57,30 @@ def _pair_counts(calls: DataFrame, w: int, phased: bool) -> DataFrame:
             pair = np.flatnonzero(here[:n] & here[d : d + n])
             found.append((start + pair, start + pair + d, both.sum(axis=0)[pair], np.where(both, same, 0).sum(axis=0)[pair]))
         i, j, both, joint = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(4))
-        return pa.table({"panel_id": pa.array([panel] * len(i), type=tab.schema.field("panel_id").type), "chr": pa.array([chrom] * len(i), type=pa.string()), "i": pa.array(i, type=pa.int32()), "j": pa.array(j, type=pa.int32()), "both": pa.array(both, type=pa.int64()), "joint": pa.array(joint, type=pa.int64())})
+        heads = [pa.repeat(tab.column(c)[0], len(i)) for c in ("panel_id", "chr")]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(i, type=pa.int32()), pa.array(j, type=pa.int32()), pa.array(both, type=pa.int64()), pa.array(joint, type=pa.int64())], names=["panel_id", "chr", "i", "j", "both", "joint"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tile after tile of the sorted rows; one tile is held at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in key]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in key):
+                yield count(pa.Table.from_batches(held))
+                held = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a:
+                    yield count(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield count(pa.Table.from_batches(held))
 
     panel_type = calls.schema["panel_id"].dataType.simpleString()
-    counts = dealt.groupBy("panel_id", "chr", "block", "tile").applyInArrow(count, f"panel_id {panel_type}, chr string, i int, j int, both bigint, joint bigint")
+    counts = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(walk, f"panel_id {panel_type}, chr string, i int, j int, both bigint, joint bigint")
     return counts.groupBy("panel_id", "chr", "i", "j").agg(F.sum("both").alias("both"), F.sum("joint").alias("joint"))
 
 
