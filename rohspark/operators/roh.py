@@ -58,16 +58,16 @@ def score_calls(calls: DataFrame, centromeres: DataFrame, max_gap: int, error: f
     return placed.select(*ENTITY, "locus_idx", "idx", "ppos", "brk", "lod")
 
 
-def _running(scored: DataFrame, value: str) -> DataFrame:
-    """`scored` with running sums: `_s` of `value` and `_b` of the breaks. Each row is added once, whatever the window size."""
-    upto = _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scored.withColumns({"_s": F.sum(value).over(upto), "_b": F.sum("brk").over(upto)})
+def _upto(last: int) -> Window:
+    """All rows of the entity up to `last` places behind the current one: a frame to which each row is added once, whatever `last` is."""
+    return _w().rowsBetween(Window.unboundedPreceding, last)
 
 
-def _window_sum(w: int) -> Column:
-    """The sum over a row's window, from the running sums at its two ends."""
-    last = F.lead("_b", w - 1).over(_w())
-    return F.when(last == F.col("_b"), F.lead("_s", w - 1).over(_w()) - F.coalesce(F.lag("_s").over(_w()), F.lit(0.0)))
+def _window_sum(value: str, w: int) -> Column:
+    """The sum over the row and the w - 1 behind it, as a difference of running sums; null as `window_scores` says."""
+    whole = F.count(F.lit(1)).over(_upto(w - 1)) - F.count(F.lit(1)).over(_upto(0)) == w - 1
+    unbroken = F.sum("brk").over(_upto(w - 1)) == F.sum("brk").over(_upto(0))
+    return F.when(whole & unbroken, F.sum(value).over(_upto(w - 1)) - F.coalesce(F.sum(value).over(_upto(-1)), F.lit(0.0)))
 
 
 def window_scores(scored: DataFrame, w: int, value: str = "lod") -> DataFrame:
@@ -77,12 +77,12 @@ def window_scores(scored: DataFrame, w: int, value: str = "lod") -> DataFrame:
     """
     if w < 2:
         raise ValueError("a window has at least two sites")
-    return _running(scored, value).withColumn("score", _window_sum(w)).drop("_s", "_b")
+    return scored.withColumn("score", _window_sum(value, w))
 
 
 def thinned_for_sizes(scored: DataFrame, sizes: list[int], value: str = "lod") -> DataFrame:
     """(panel_id, w, score): what `thin` leaves of the scores of each window size, all from one pass over the sorted rows."""
-    windows = _running(scored, value).withColumns({f"_s{w}": _window_sum(w) for w in sizes})
+    windows = scored.withColumns({f"_s{w}": _window_sum(value, w) for w in sizes})
     kept = [F.when((F.pmod("idx", F.lit(w)) == 0) & F.col(f"_s{w}").isNotNull() & ~F.isnan(f"_s{w}"), F.struct(F.lit(w).alias("w"), F.col(f"_s{w}").alias("score"))) for w in sizes]
     return windows.select("panel_id", F.explode(F.array_compact(F.array(*kept))).alias("e")).select("panel_id", "e.w", "e.score")
 
@@ -90,8 +90,7 @@ def thinned_for_sizes(scored: DataFrame, sizes: list[int], value: str = "lod") -
 def coverage(windows: DataFrame, cutoff: float, w: int) -> DataFrame:
     """`windows` with `high` (score at or above the cutoff) and `cov`, the high windows that cover the site."""
     high = F.coalesce(F.col("score") >= cutoff, F.lit(False)).cast("int")
-    counted = windows.withColumn("high", high).withColumn("_h", F.sum("high").over(_w().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return counted.withColumn("cov", F.col("_h") - F.coalesce(F.lag("_h", w).over(_w()), F.lit(0).cast("bigint"))).drop("_h")
+    return windows.withColumn("high", high).withColumn("cov", F.sum("high").over(_upto(0)) - F.coalesce(F.sum("high").over(_upto(-w)), F.lit(0)))
 
 
 def assemble(windows: DataFrame, cutoff: float, w: int, overlap_frac: float = 0.25, cm: bool = False) -> DataFrame:
