@@ -72,3 +72,14 @@ def test_heavy_and_empty(spark):
     assert {r["chr"] for r in key_stats.heavy_chr(df, 0.3).collect()} == {c for c, k in n.items() if c is not None and k >= 0.3 * len(rows)}
     empty = spark.createDataFrame([], SCHEMA)
     assert key_stats.chr_stats(empty).count() == 0 and key_stats.heavy_chr(empty).count() == 0
+
+
+def test_sites_and_blocks(spark):
+    loci = "panel_id int, chr string, locus_idx int, n_rows string"
+    blocks = "panel_id int, chr string, nloci int, panels string"
+    rows = [(p, c, i, "clash") for p in (1, 2) for c in ("chr1", None) for i in range(30)] + [(1, "chr1", 3, "clash")] * 5 + [(1, "chr9", None, None)]
+    told = [(1, "chr1", 30, ""), (1, "chr1", None, ""), (2, "chr1", 29, ""), (1, None, None, ""), (2, "chrX", 4, "")]
+    got = {r["chr"]: tuple(r)[1:] for r in key_stats.chr_sites(spark.createDataFrame(rows, loci), spark.createDataFrame(told, blocks), partitions=5).collect()}
+    assert got == {"chr1": (65, 60, 2, 59, 2, 1), None: (60, 60, 1, None, 0, 0), "chr9": (1, 1, None, None, None, None), "chrX": (None, None, 1, 4, 1, 1)}
+    empty = key_stats.chr_sites(spark.createDataFrame([], loci), spark.createDataFrame([], blocks))
+    assert empty.count() == 0
