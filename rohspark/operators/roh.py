@@ -31,11 +31,12 @@ def site_breaks(numbered: DataFrame, centromeres: DataFrame, max_gap: int) -> Da
 def score_sites(calls: DataFrame, sites: DataFrame, error: float | Column = 0.001) -> DataFrame:
     """(entity, locus_idx, idx, ppos, brk, lod) of each call at a site that is left; `sites` has idx, freq and brk.
 
-    `calls` has one row per individual and site. `error` may be a column of `calls`.
+    `calls` has one row per individual and site. `error` may be a column of `calls`. The join is a merge whatever the
+    sizes of files say: Parquet holds a call in under a byte, so millions of calls would pass for a table to broadcast.
     """
     kept = [c for c in ("gpos", "weight") if c in sites.columns]
     s = sites.select("panel_id", "chr", "locus_idx", "idx", F.col("ppos").alias("site_ppos"), "freq", "brk", *kept)
-    joined = calls.join(s, ["panel_id", "chr", "locus_idx"])
+    joined = calls.hint("merge").join(s, ["panel_id", "chr", "locus_idx"])
     score = exprs.lod(F.col("g"), F.col("freq"), error if isinstance(error, Column) else F.lit(error))
     return joined.select(*ENTITY, "locus_idx", "idx", F.col("site_ppos").alias("ppos"), "brk", *kept, score.alias("lod"))
 

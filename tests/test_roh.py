@@ -91,6 +91,16 @@ def test_windows_and_segments(spark):
             assert {(r["ind_idx"], r["start"], r["stop"], r["n_snps"], r["length"]) for r in out.collect()} == want
 
 
+def test_calls_are_never_broadcast(spark, tmp_path):
+    """Small files may hold more calls than the driver has room for."""
+    calls, s = tables(spark, *study(5))
+    calls.write.parquet(f"{tmp_path}/calls")
+    scored = roh.score_sites(spark.read.parquet(f"{tmp_path}/calls"), s, ERR)
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, roh.score_sites(calls, s, ERR).collect()))
+    joins = [x for x in scored._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "locus_idx" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_other_coding_gives_the_same_scores(spark):
     pos, p, g, first, cen = study(4)
     calls, s = tables(spark, pos, p, g, first, cen)
